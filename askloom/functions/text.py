@@ -18,6 +18,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, then) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``then``."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def strip_ws(c) -> Column:
     """Strip every kind of leading and trailing whitespace (``trim`` only takes spaces)."""
     return F.btrim(_col(c), F.lit(WHITESPACE))

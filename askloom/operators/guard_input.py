@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from askloom.functions.text import let
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # A Unicode noncharacter, never valid in exchanged text; it fences matches while they are checked.
 _FENCE = "\uffff"
@@ -44,21 +46,28 @@ def _col(c) -> Column:
 
 
 def _passes_luhn(value: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(value, "[ -]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(value, "[ -]", ""))
+
+
+def _hits(text: Column, r: Recognizer) -> Column:
+    values = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
+    if r.luhn:
+        values = F.filter(values, _passes_luhn)
+    return F.transform(values, lambda v: F.struct(
+        F.lit(r.entity).alias("entity"), v.alias("value"), F.lit(r.score).alias("score")))
+
+
+def _replace_checked(text: Column, r: Recognizer) -> Column:
+    """Replace the matches that pass the check: odd parts between fences are matches."""
+    fenced = F.split(F.regexp_replace(text, f"({r.pattern})", f"{_FENCE}$1{_FENCE}"), _FENCE)
+    return F.array_join(F.transform(fenced, lambda part, i: F.when(
+        (i % 2 == 1) & _passes_luhn(part), F.lit(f"<{r.entity}>")).otherwise(part)), "")
 
 
 def detect_pii(df: DataFrame, text: str = "text", recognizers=None,
                threshold: float = SCORE_THRESHOLD) -> DataFrame:
     """One row per match: the columns of ``df`` but the text, then entity, value, score."""
-    found = []
-    for r in recognizers or RECOGNIZERS:
-        if r.score < threshold:
-            continue
-        hits = F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(0))
-        if r.luhn:
-            hits = F.filter(hits, _passes_luhn)
-        found.append(F.transform(hits, lambda v, r=r: F.struct(
-            F.lit(r.entity).alias("entity"), v.alias("value"), F.lit(r.score).alias("score"))))
+    found = [_hits(F.col(text), r) for r in recognizers or RECOGNIZERS if r.score >= threshold]
     keep = [c for c in df.columns if c != text]
     return df.select(*keep, F.inline(F.concat(*found)))
 
@@ -69,34 +78,32 @@ def anonymize_pii(text, recognizers=None, threshold: float = SCORE_THRESHOLD) ->
     for r in recognizers or RECOGNIZERS:
         if r.score < threshold:
             continue
-        if not r.luhn:
+        if r.luhn:
+            out = _replace_checked(out, r)
+        else:
             out = F.regexp_replace(out, r.pattern, f"<{r.entity}>")
-            continue
-        fenced = F.split(F.regexp_replace(out, f"({r.pattern})", f"{_FENCE}$1{_FENCE}"), _FENCE)
-        out = F.array_join(
-            F.transform(fenced, lambda part, i, r=r: F.when(
-                (i % 2 == 1) & _passes_luhn(part), F.lit(f"<{r.entity}>")).otherwise(part)), "")
     return out
 
 
-def validate_input(text, toxic_score, toxic=None, threshold: float = TOXICITY_THRESHOLD,
-                   recognizers=None) -> Column:
-    """``struct<status, reason, sanitized>``. An unknown score counts as not toxic.
-
-    ``toxic`` is the predicted label; without it the score alone decides.
-    """
-    score = _col(toxic_score)
-    flagged = score >= F.lit(threshold)
+def is_toxic(toxic_score, toxic=None, threshold: float = TOXICITY_THRESHOLD) -> Column:
+    """Score from the threshold up, and the predicted label if given. Unknown means no."""
+    flagged = _col(toxic_score) >= F.lit(threshold)
     if toxic is not None:
         flagged = _col(toxic) & flagged
-    clean = anonymize_pii(text, recognizers)
+    return F.coalesce(flagged, F.lit(False))
+
+
+def validate_input(text, toxic_score, toxic=None, threshold: float = TOXICITY_THRESHOLD,
+                   recognizers=None) -> Column:
+    """``struct<status, reason, sanitized>``; personal data is looked for only when not toxic."""
+    raw = _col(text)
     return (
-        F.when(F.coalesce(flagged, F.lit(False)), F.struct(
+        F.when(is_toxic(toxic_score, toxic, threshold), F.struct(
             F.lit("REJECTED").alias("status"),
-            F.format_string(REASON_TOXIC, score).alias("reason"),
+            F.format_string(REASON_TOXIC, _col(toxic_score)).alias("reason"),
             F.lit(None).cast("string").alias("sanitized")))
-        .otherwise(F.struct(
+        .otherwise(let(anonymize_pii(raw, recognizers), lambda clean: F.struct(
             F.lit("ACCEPTED").alias("status"),
-            F.when(clean.eqNullSafe(_col(text)), REASON_CLEAN).otherwise(REASON_PII).alias("reason"),
-            clean.alias("sanitized")))
+            F.when(clean.eqNullSafe(raw), REASON_CLEAN).otherwise(REASON_PII).alias("reason"),
+            clean.alias("sanitized"))))
     )

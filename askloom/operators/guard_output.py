@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from askloom.functions.masking import mask_pii
-from askloom.functions.text import distinct_words4, strip_ws
+from askloom.functions.text import distinct_words4, let, strip_ws
 
 # Leak signatures, texts put in place of a blocked answer, thresholds.
 LEAK_SIGNATURES = [
@@ -41,23 +41,24 @@ def has_leak(answer, signatures=LEAK_SIGNATURES) -> Column:
     return found
 
 
+def _word_sets(answer, context) -> Column:
+    context = F.coalesce(_col(context), F.array().cast("array<string>"))
+    return F.struct(
+        F.size(context).alias("chunks"), distinct_words4(answer).alias("a"),
+        distinct_words4(F.array_join(context, " ")).alias("c"))
+
+
 def overlap_ratio(answer, context) -> Column:
     """Shared distinct words over distinct answer words; ``context`` is an array of texts."""
-    a = distinct_words4(answer)
-    c = distinct_words4(F.array_join(_col(context), " "))
-    return F.size(F.array_intersect(a, c)) / F.when(F.size(a) > 0, F.size(a))
+    return let(_word_sets(answer, context), lambda w: F.when(
+        F.size(w["a"]) > 0, F.size(F.array_intersect(w["a"], w["c"])) / F.size(w["a"])))
 
 
 def is_grounded(answer, context, threshold: float = DEFAULT_THRESHOLD) -> Column:
-    context = F.coalesce(_col(context), F.array().cast("array<string>"))
-    a = distinct_words4(answer)
-    c = distinct_words4(F.array_join(context, " "))
-    return (
-        F.when(F.size(context) == 0, False)
-        .when(F.size(c) == 0, False)
-        .when(F.size(a) == 0, True)
-        .otherwise(F.size(F.array_intersect(a, c)) / F.size(a) >= F.lit(threshold))
-    )
+    return let(_word_sets(answer, context), lambda w: (
+        F.when((w["chunks"] == 0) | (F.size(w["c"]) == 0), False)
+        .when(F.size(w["a"]) == 0, True)
+        .otherwise(F.size(F.array_intersect(w["a"], w["c"])) / F.size(w["a"]) >= F.lit(threshold))))
 
 
 def validate_output(answer, context, threshold: float = PIPELINE_THRESHOLD) -> Column:

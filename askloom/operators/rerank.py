@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from askloom.functions.text import words
+from askloom.functions.text import let, words
 
 # Chunks kept, lowest score kept, defaults of missing metadata, fallback answer.
 TOP_N = 3
@@ -46,32 +46,38 @@ def query_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
 
 
-def bm25(text: Column, terms: Column, avg_len: Column, k1: float = K1, b: float = B) -> Column:
-    """Score of one (question, chunk) pair; question words the chunk lacks add nothing."""
-    bag = words(text)
+def bm25(bag: Column, terms: Column, avg_len: Column, k1: float = K1, b: float = B) -> Column:
+    """Score of one (question, chunk) pair from the chunk's words; words it lacks add nothing."""
     length = F.size(bag)
 
-    def add(acc, x):
-        tf = F.size(F.filter(bag, lambda w: w == x["term"])).cast("double")
-        return acc + x["idf"] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
+    def score(shared):
+        def add(acc, x):
+            tf = F.size(F.filter(shared, lambda w: w == x["term"])).cast("double")
+            return acc + x["idf"] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
 
-    return F.aggregate(F.coalesce(terms, F.array().cast("array<struct<term:string,idf:double>>")),
-                       F.lit(0.0), add)
+        return F.aggregate(F.coalesce(terms, F.array().cast("array<struct<term:string,idf:double>>")),
+                           F.lit(0.0), add)
+
+    # only the chunk's words that the question has are counted term by term
+    return let(F.transform(terms, lambda x: x["term"]), lambda names: let(
+        F.filter(bag, lambda w: F.array_contains(names, w)), score))
 
 
 def rerank_score(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add ``rerank_score`` to ``req_id, id, rank, distance, text, ...``: BM25 with corpus statistics."""
-    avg_len = corpus_stats(chunks).select("avg_len").scalar()
-    scored = candidates.join(query_terms(queries, chunks), "req_id", "left")
-    return scored.withColumn("rerank_score", F.round(
-        bm25(F.col("text"), F.col("terms"), avg_len), _ROUND)).drop("terms")
+    scored = candidates.join(query_terms(queries, chunks), "req_id", "left").withColumn(
+        "avg_len", corpus_stats(chunks).select("avg_len").scalar()).withColumn("bag", words("text"))
+    return scored.withColumn("rerank_score", F.round(F.coalesce(
+        bm25(F.col("bag"), F.col("terms"), F.col("avg_len")), F.lit(0.0)), _ROUND)).drop("terms", "avg_len", "bag")
 
 
 def rerank_topn(scored: DataFrame, top_n: int = TOP_N, min_score: float = MIN_SCORE) -> DataFrame:
     """Keep scores from ``min_score``, best first, ties in retrieval order, first ``top_n``."""
     order = Window.partitionBy("req_id").orderBy(F.col("rerank_score").desc(), F.col("rank"))
-    return scored.filter(F.col("rerank_score") >= min_score).withColumn(
-        "pos", F.row_number().over(order)).filter(F.col("pos") <= top_n)
+    # Best scores come first, so the threshold may act after the ranking: the rank of what stays
+    # is the same, and the score is not computed once more for a filter below the window.
+    return scored.withColumn("pos", F.row_number().over(order)).filter(
+        (F.col("pos") <= top_n) & (F.col("rerank_score") >= min_score))
 
 
 def context_chunks(ranked: DataFrame) -> DataFrame:

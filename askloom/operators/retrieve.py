@@ -127,12 +127,14 @@ def _blocks(queries, chunks, schema, k, block_rows) -> DataFrame:
             return pa.table({"req_id": left.column("req_id").slice(0, 0),
                              "id": right.column("id").slice(0, 0),
                              "distance": pa.array([], pa.float64())})
-        row, dist, ident = _best(_matrix(left.column("embedding")), _matrix(right.column("embedding")),
+        row, dist, ident = _best(_matrix(left.column("asked")), _matrix(right.column("embedding")),
                                  _ids(right.column("id")), k)
         return pa.table({"req_id": left.column("req_id").take(pa.array(row)),
                          "id": pa.array(ident), "distance": pa.array(dist)})
 
-    return q.select(*cols, "req_id", "embedding").groupBy(*cols).cogroup(
+    # fresh column names on one side: both may come from the same table
+    left = q.select(*[F.col(x).alias("q_" + x) for x in cols], "req_id", F.col("embedding").alias("asked"))
+    return left.groupBy(*["q_" + x for x in cols]).cogroup(
         c.select(*cols, "id", "embedding").groupBy(*cols)).applyInArrow(meet, schema)
 
 

@@ -55,11 +55,12 @@ def answer_requests(requests: DataFrame, index: DataFrame, capacity=throttle.CAP
     Rejected questions cost no token; cache hits do. Each distinct cache key is retrieved and
     answered once, however many requests share it, and its verdict is joined back by key.
     """
-    guarded = requests.withColumn("guard", guard_input.validate_input("query", "toxic_score"))
-    rejected = guarded.filter(F.col("guard.status") != "ACCEPTED")
-    accepted = guarded.filter(F.col("guard.status") == "ACCEPTED").select(
+    toxic = guard_input.is_toxic("toxic_score")
+    guard = guard_input.validate_input("query", "toxic_score")
+    rejected = requests.filter(toxic).withColumn("guard", guard)
+    accepted = requests.filter(~toxic).select(
         F.col("user_id").alias("key"), "t", F.col("req_id").alias("id"),
-        F.col("guard.sanitized").alias("query"))
+        guard["sanitized"].alias("query"))
     limited = checkpointed(
         throttle.token_bucket(accepted, capacity, refill_per_s, idle_s)
         .withColumn("cache_key", cache.cache_key("query")), requests.sparkSession)
