@@ -241,10 +241,11 @@ d AS (SELECT q.vec_id AS req_id, c.vec_id AS id, round(1 - list_cosine_similarit
 SELECT req_id, id, distance, row_number() OVER (PARTITION BY req_id ORDER BY distance, id)::INT AS rank FROM d
 QUALIFY rank <= 10"""
 
+_ASKED = "asked AS (SELECT item_id AS id, text FROM benchmark)"
 _TOPK = f"""
 {_CORPUS}, {_rows_ctes('corpus')},
 ix AS MATERIALIZED (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
-asked AS (SELECT item_id AS id, text FROM benchmark),
+{_ASKED},
 {sparse_ctes('qv', 'asked')}, {sparse_ctes('cv', 'ix')},
 ql AS (SELECT id, sqrt(sum(w * w)) AS len FROM qv GROUP BY id),
 cl AS (SELECT id, sqrt(sum(w * w)) AS len FROM cv GROUP BY id),
@@ -286,7 +287,8 @@ ctx AS (SELECT a.id AS req_id, a.text AS query, count(k.id) AS n_chunks,
                coalesce(string_agg('Source: ' || filename || ' (Page ' || page || ')' || chr(10) || k.text,
                                    chr(10) || chr(10) ORDER BY pos), '') AS context,
                coalesce(string_agg(filename, ',' ORDER BY pos), '') AS sources,
-               min_by(k.text, pos) AS best, string_agg(k.text, ' ' ORDER BY pos) AS said
+               min_by(k.text, pos) AS best,
+               coalesce(array_agg(k.text ORDER BY pos) FILTER (k.id IS NOT NULL), []) AS texts
         FROM asked a LEFT JOIN kept k ON k.req_id = a.id GROUP BY 1, 2)"""
 
 _FALLBACK = "I could not find any relevant information in the knowledge base to answer your query."
@@ -489,6 +491,48 @@ SELECT conv_id, turn, verdict_text AS text, reason = 'PASSED' AS valid, reason F
 
 # ---- whole pipeline and scalars
 
+_REQUESTS = f"""
+reqs AS (SELECT event_id AS req_id, user_id::VARCHAR AS user_id, epoch_us(ts) AS t, toxic,
+                CASE WHEN event_type = 'signup' THEN b.text || ' Reply to user' || user_id || '@mail.example.com'
+                     ELSE b.text END AS text
+         FROM events JOIN benchmark b
+           ON b.item_id = regexp_extract(props, '[0-9]+')::BIGINT % (SELECT count(*) FROM benchmark)
+         LEFT JOIN labels l ON l.doc_id = event_id),
+okay AS (SELECT * FROM reqs WHERE toxic IS DISTINCT FROM 1),
+{anonymize_ctes('san', 'okay', 'req_id')},
+log AS (SELECT user_id AS key, req_id AS id, t FROM okay),
+{bucket_ctes('log', '3', '(1/7200.0)', '9e18')},
+passed AS MATERIALIZED (SELECT b.key AS user_id, b.id, b.t, {cache_key('clean')} AS k, lower({strip('clean')}) AS q
+                        FROM bucket b JOIN san ON san.req_id = b.id WHERE allowed),
+asked AS MATERIALIZED (SELECT k AS id, min(q) AS text FROM passed GROUP BY k)"""
+
+_JUDGED = f"""
+said AS (SELECT req_id AS k, sources, texts AS context, CASE WHEN n_chunks = 0 THEN '{_FALLBACK}' ELSE best END AS answer
+         FROM ctx),
+worded AS (SELECT *, list_distinct({words4('answer')}) AS aw,
+                  list_distinct({words4("array_to_string(context, ' ')")}) AS cw FROM said),
+{verdict_ctes('worded')}, told AS MATERIALIZED (SELECT * FROM judged)"""
+
+TWINS["answer_requests"] = f"""
+WITH RECURSIVE {_REQUESTS}, {_KEPT.replace(_ASKED + ",", "")}, {_JUDGED},
+lined AS (SELECT p.*, reason = 'PASSED' AS valid, row_number() OVER (PARTITION BY p.k ORDER BY t, p.id) AS rn
+          FROM passed p JOIN told USING (k)),
+served AS (
+  SELECT k, id, user_id, t, rn, valid, TRUE AS miss, CASE WHEN valid THEN t END AS set_t FROM lined WHERE rn = 1
+  UNION ALL
+  SELECT l.k, l.id, l.user_id, l.t, l.rn, l.valid, (s.set_t IS NULL OR l.t - s.set_t >= 86400000000),
+         CASE WHEN l.valid AND (s.set_t IS NULL OR l.t - s.set_t >= 86400000000) THEN l.t ELSE s.set_t END
+  FROM served s JOIN lined l ON l.k = s.k AND l.rn = s.rn + 1)
+SELECT req_id, user_id, 'INPUT_BLOCKED' AS outcome, 400 AS code, {_TOXIC} AS reason,
+       NULL::VARCHAR AS answer, NULL::VARCHAR AS sources FROM reqs WHERE toxic = 1
+UNION ALL
+SELECT id, key, 'RATE_LIMITED', 429, 'Retry after ' || ceil((1 - had) * 7200)::BIGINT || ' s', NULL, NULL
+FROM bucket WHERE NOT allowed
+UNION ALL
+SELECT id, user_id, CASE WHEN NOT miss THEN 'CACHE_HIT' WHEN valid THEN 'RAG_PIPELINE' ELSE 'OUTPUT_BLOCKED' END,
+       CASE WHEN NOT miss OR valid THEN 200 ELSE 422 END, reason, verdict_text, CASE WHEN valid THEN sources END
+FROM served JOIN told USING (k)"""
+
 TWINS["words4"] = f"SELECT doc_id, array_to_string({words4('text')}, ' ') AS words FROM documents"
 TWINS["strip_ws"] = f"""
 SELECT doc_id, {strip("' ' || chr(9) || chr(10) || ' ' || text || '  ' || chr(13) || chr(10)")} AS stripped FROM documents"""
