@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from askloom.operators.replay import Rule, replay
 
@@ -12,6 +12,16 @@ REFILL_PER_S = 1.0
 IDLE_S = 86_400
 
 
+def bucket_columns(rule: Rule) -> list[Column]:
+    """Decision, tokens left and seconds to wait, from what the replay returns."""
+    ok, lead, second = F.col("ok"), F.col("lead"), 1_000_000 * rule.scale
+    return [
+        ok.alias("allowed"),
+        F.when(ok, F.floor(lead / rule.period)).otherwise(F.lit(0)).cast("bigint").alias("remaining"),
+        F.when(~ok, F.ceil(-lead / second)).cast("bigint").alias("retry_after_s"),
+    ]
+
+
 def token_bucket(events: DataFrame, capacity: float = CAPACITY, refill_per_s: float = REFILL_PER_S,
                  idle_s: int | None = IDLE_S, **how) -> DataFrame:
     """``key, t, id`` (and carried columns) -> plus ``allowed, remaining, retry_after_s``.
@@ -20,12 +30,4 @@ def token_bucket(events: DataFrame, capacity: float = CAPACITY, refill_per_s: fl
     full again; ``None`` keeps it for ever.
     """
     rule = Rule.bucket(capacity, refill_per_s, idle_s)
-    out = replay(events, rule=rule, **how)
-    second = 1_000_000 * rule.scale
-    return out.select(
-        *events.columns,
-        F.col("ok").alias("allowed"),
-        F.when(F.col("ok"), F.floor(F.col("lead") / rule.period)).otherwise(F.lit(0)).cast("bigint")
-        .alias("remaining"),
-        F.when(~F.col("ok"), F.ceil(-F.col("lead") / second)).cast("bigint").alias("retry_after_s"),
-    )
+    return replay(events, rule=rule, **how).select(*events.columns, *bucket_columns(rule))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from askloom.functions import masking, text as tx
 from askloom.operators import (
-    cache, chunk, embed, guard_input, guard_output, index, rerank, retrieve, throttle)
+    cache, chunk, embed, guard_input, guard_output, index, rerank, retrieve, throttle, toxicity)
 from askloom.plans import answer as answer_plan, ingest
-from askloom.session import micros, spread
+from askloom.session import micros, scratch_path, spread
 from askloom.sources import events as ev, files
+from askloom.streaming import ingest as stream_in, replay as live
 from checks import tables as tb
 from checks.tables import table
 
@@ -361,3 +362,57 @@ def words4(spark, sf):
 def strip_ws(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.strip_ws(
         F.concat(F.lit(" \t\n "), "text", F.lit("  \r\n"))).alias("stripped"))
+
+
+# ---- streams and the learned classifier
+
+def _events_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(
+        F.col("user_id").cast("string").alias("key"), micros("ts").alias("t"),
+        F.col("event_id").alias("id"), "event_type")
+
+
+def _drained(spark, df, name):
+    """Run a streaming query over all that is there, into files, and read them back."""
+    out, log = scratch_path(spark, name), scratch_path(spark, name + "-log")
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def token_bucket_stream(spark, sf):
+    events = _events_stream(spark, sf).drop("event_type")
+    return _drained(spark, live.token_bucket_stream(events, **BUCKET), "bucket")
+
+
+@query
+def cache_stream(spark, sf):
+    events = _events_stream(spark, sf).select(F.concat_ws(":", "key", "event_type").alias("key"), "t", "id")
+    return _drained(spark, live.cache_stream(events, ttl_s=DAY), "cache")
+
+
+@query
+def dedup_events_stream(spark, sf):
+    events = _events_stream(spark, sf).drop("event_type")
+    return _drained(spark, live.dedup_events_stream(events, busy_us=2 * DAY * 1_000_000), "dedup")
+
+
+@query
+def stream_ingest(spark, sf):
+    path = scratch_path(spark, "index")
+    stream_in.create_index(spark, path)
+    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option(
+        "pathGlobFilter", "documents.parquet").parquet(sf).select(
+        F.format_string("/corpus/%d.pdf", "doc_id").alias("source"),
+        F.col("text").alias("content"), F.col("doc_id").alias("seq"))
+    stream_in.stream_ingest(docs, path, scratch_path(spark, "index-log"), availableNow=True).awaitTermination()
+    return stream_in.read_index(spark, path).drop("embedding")
+
+
+@query
+def toxicity_flag(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train_toxicity(docs.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "toxic_score", "is_toxic", "toxic_reason")

@@ -536,3 +536,15 @@ FROM served JOIN told USING (k)"""
 TWINS["words4"] = f"SELECT doc_id, array_to_string({words4('text')}, ' ') AS words FROM documents"
 TWINS["strip_ws"] = f"""
 SELECT doc_id, {strip("' ' || chr(9) || chr(10) || ' ' || text || '  ' || chr(13) || chr(10)")} AS stripped FROM documents"""
+
+
+# ---- streams: the same results as their batch forms
+
+for _live, _batch in [("token_bucket_stream", "token_bucket"), ("cache_stream", "cache_replay"),
+                      ("dedup_events_stream", "dedup_events")]:
+    TWINS[_live] = TWINS[_batch]
+
+TWINS["stream_ingest"] = f"""
+WITH RECURSIVE {_CORPUS}, {_rows_ctes('corpus')}
+SELECT id, source, filename, page, chunk_idx, text, file_hash FROM made
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""
