@@ -6,6 +6,9 @@ keeps the best ``k`` per question, so what is shuffled is questions x tasks x k
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -138,15 +141,21 @@ def _blocks(queries, chunks, schema, k, block_rows) -> DataFrame:
         c.select(*cols, "id", "embedding").groupBy(*cols)).applyInArrow(meet, schema)
 
 
+@lru_cache(maxsize=8)
+def _planes(n: int, dim: int, seed: int) -> np.ndarray:
+    """Normals of ``n`` planes with entries +1 and -1, drawn by hashing so that they never change."""
+    sign = lambda p, d: 1.0 if md5(f"{seed}:{p}:{d}".encode()).hexdigest()[0] < "8" else -1.0
+    return np.array([[sign(p, d) for d in range(dim)] for p in range(n)])
+
+
 def _hyperplane_buckets(embedding, dim: int, tables: int, bits: int, seed: int):
-    """For each table the side of ``bits`` random planes on which a vector lies."""
+    """For each table on which sides of its ``bits`` planes a vector lies (Charikar 2002)."""
 
     @arrow_udf("array<int>")
     def signs(vectors: pa.Array) -> pa.Array:
-        planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
-        side = (_matrix(vectors) @ planes.T >= 0).reshape(len(vectors), tables, bits)
-        code = side @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
         n = len(vectors)
+        side = _matrix(vectors).reshape(n, dim) @ _planes(tables * bits, dim, seed).T >= 0
+        code = side.reshape(n, tables, bits) @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
         return pa.ListArray.from_arrays(
             pa.array(np.arange(0, (n + 1) * tables, tables, dtype=np.int32)),
             pa.array(code.astype(np.int32).ravel()))

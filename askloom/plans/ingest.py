@@ -10,6 +10,7 @@ from askloom.operators.embed import embed_text
 from askloom.operators.index import index_status, upsert_index, work_list
 from askloom.sources.files import drop_short_pages, extract_pages, with_fingerprint
 from askloom.functions.text import file_name
+from askloom.session import checkpointed
 
 INDEX_COLUMNS = ["id", "source", "filename", "page", "chunk_idx", "text", "file_hash", "embedding"]
 INDEX_SCHEMA = ("id string, source string, filename string, page int, chunk_idx int, text string, "
@@ -34,5 +35,6 @@ def ingest_documents(documents: DataFrame, index: DataFrame, manifest: DataFrame
                      order: str = "seq") -> DataFrame:
     """The index after the new and changed ones of ``documents`` (``source, content, seq``) came in."""
     status = index_status(with_fingerprint(documents), manifest)
-    rows = index_rows(work_list(status), carry=[order])
+    # the merge reads the new rows three times, so they are cut once and kept
+    rows = checkpointed(index_rows(work_list(status), carry=[order]), documents.sparkSession)
     return upsert_index(index, rows, order)

@@ -241,6 +241,21 @@ d AS (SELECT q.vec_id AS req_id, c.vec_id AS id, round(1 - list_cosine_similarit
 SELECT req_id, id, distance, row_number() OVER (PARTITION BY req_id ORDER BY distance, id)::INT AS rank FROM d
 QUALIFY rank <= 10"""
 
+TWINS["vector_topk_lsh"] = """
+WITH u AS (SELECT vec_id, e / sqrt(sum(e * e) OVER (PARTITION BY vec_id)) AS e, d
+           FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS e, unnest(generate_series(0, 63)) AS d FROM embeddings)),
+planes AS (SELECT p, d, CASE WHEN substr(md5('7:' || p || ':' || d), 1, 1) < '8' THEN 1 ELSE -1 END AS s
+           FROM generate_series(0, 63) a(p), generate_series(0, 63) b(d)),
+sides AS (SELECT vec_id, p, sum(e * s) >= 0 AS side FROM u JOIN planes USING (d) GROUP BY 1, 2),
+buckets AS (SELECT vec_id, p // 4 AS tab, sum(CASE WHEN side THEN 1 << (p % 4)::INT ELSE 0 END) AS code
+            FROM sides GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT a.vec_id AS req_id, b.vec_id AS id FROM buckets a JOIN buckets b USING (tab, code)),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+dist AS (SELECT req_id, id, round(1 - list_cosine_similarity(q.v, c.v), 9) AS distance
+         FROM pairs JOIN e q ON q.vec_id = req_id JOIN e c ON c.vec_id = id)
+SELECT req_id, id, distance, row_number() OVER (PARTITION BY req_id ORDER BY distance, id)::INT AS rank FROM dist
+QUALIFY rank <= 10"""
+
 _ASKED = "asked AS (SELECT item_id AS id, text FROM benchmark)"
 _TOPK = f"""
 {_CORPUS}, {_rows_ctes('corpus')},
