@@ -149,7 +149,7 @@ def embed_text(spark, sf):
     texts = table(spark, sf, "documents").select(F.format_string("doc-%d", "doc_id").alias("id"), "text")
     texts = texts.unionByName(table(spark, sf, "benchmark").select(
         F.format_string("item-%d", "item_id").alias("id"), "text"))
-    return texts.select("id", F.posexplode(embed.embed_text("text")).alias("dim", "w")).filter(
+    return spread(texts).select("id", F.posexplode(embed.embed_text("text")).alias("dim", "w")).filter(
         "w > 0").select("id", "dim", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
@@ -287,19 +287,19 @@ def token_bucket_idle_reset(spark, sf):
 
 @query
 def pii_detect(spark, sf):
-    return guard_input.detect_pii(table(spark, sf, "documents").select("doc_id", "text"))
+    return guard_input.detect_pii(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 @query
 def pii_anonymize(spark, sf):
     clean = guard_input.anonymize_pii("text")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", clean.alias("sanitized"), (clean != F.col("text")).alias("pii_found"))
 
 
 @query
 def validate_input(spark, sf):
-    scored = table(spark, sf, "documents").select("doc_id", "text").join(
+    scored = spread(table(spark, sf, "documents").select("doc_id", "text")).join(
         table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("score")),
         "doc_id", "left")
     return scored.select("doc_id", guard_input.validate_input("text", "score").alias("v")).select(

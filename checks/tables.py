@@ -80,7 +80,7 @@ def requests(spark, sf) -> DataFrame:
     """Every event as a request: a benchmark question, sometimes with the user's address in it."""
     bench = table(spark, sf, "benchmark")
     n = bench.agg(F.count("*").alias("n"))
-    events = table(spark, sf, "events").withColumn(
+    events = spread(table(spark, sf, "events")).withColumn(
         "item_id", F.pmod(F.regexp_extract("props", "[0-9]+", 0).cast("bigint"), n.scalar()))
     toxic = table(spark, sf, "labels").select(F.col("doc_id").alias("event_id"), "toxic")
     return events.join(bench, "item_id").join(toxic, "event_id", "left").select(
