@@ -286,7 +286,9 @@ def replay(events: DataFrame, period: int | None = None, rule: Rule | None = Non
     counts = events.groupBy("key").count().agg(
         F.max("count").alias("top"), F.sum("count").alias("all")).first()
     if (counts["top"] or 0) <= hot_key_rows:
-        ordered = events.repartition("key").sortWithinPartitions("key", "t", "id")
+        # Not by "key" itself: after a join on it the planner would drop this exchange, and adaptive
+        # execution may then turn that join into one that leaves the rows unpartitioned.
+        ordered = events.repartition(F.xxhash64("key")).sortWithinPartitions("key", "t", "id")
         return ordered.mapInArrow(
             _decide(rule, has_op), T.StructType(events.schema.fields + extra))
     n = max(2, -(-counts["all"] // hot_key_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -121,6 +121,20 @@ def test_hot_key_is_spread_over_tasks(spark):
     assert len(hot) > 5 and max(r["count"] for r in hot) < 1200
 
 
+def test_keys_stay_together_after_a_join_on_the_key(spark):
+    """The join is planned on shuffled keys, and turned into a broadcast while it runs."""
+    from askloom.session import checkpointed
+
+    rows = skewed(3000, 40 * 86_400, seed=8)
+    log = checkpointed(spark.createDataFrame(rows, "key string, t long, id long").repartition(6, "id"), spark)
+    side = checkpointed(log.select("key").distinct().withColumn("valid", F.lit(True)).repartition(3), spark)
+    out = cache.cache_replay(log.join(side, "key"), valid="valid")
+    got = {x.id: x.outcome for x in out.collect()}
+    assert got == cache_model([(*x, True) for x in rows], 3600)
+    # the replay's own exchange must survive: the join's may be gone by the time it runs
+    assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pieces_describe_a_run_exactly():
     r = random.Random(1)
     for _ in range(200):
