@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,3 +49,14 @@ def spread(df):
     """Use all cores when the input came in fewer splits than there are; larger inputs stay put."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session; needless where it is installed."""
+    if getattr(spark.sparkContext, "_askloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="askloom-"), "askloom"), "zip", home, "askloom")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._askloom_shipped = True

@@ -10,7 +10,7 @@ from askloom.functions import masking, text as tx
 from askloom.operators import (
     cache, chunk, embed, guard_input, guard_output, index, rerank, retrieve, throttle, toxicity)
 from askloom.plans import answer as answer_plan, ingest
-from askloom.session import micros, scratch_path, spread
+from askloom.session import micros, scratch_path, ship, spread
 from askloom.sources import events as ev, files
 from askloom.streaming import ingest as stream_in, replay as live
 from checks import tables as tb
@@ -25,6 +25,7 @@ DAY = 86_400
 def query(fn):
     def run(spark, sf):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship(spark)
         return fn(spark, sf.rstrip("/"))
     QUERIES[fn.__name__] = run
     return run
