@@ -10,7 +10,7 @@ from askloom.functions import masking, text as tx
 from askloom.operators import (
     cache, chunk, embed, guard_input, guard_output, index, rerank, retrieve, throttle, toxicity)
 from askloom.plans import answer as answer_plan, ingest
-from askloom.session import micros, scratch_path, ship, spread
+from askloom.session import checkpointed, micros, scratch_path, ship, spread
 from askloom.sources import events as ev, files
 from askloom.streaming import ingest as stream_in, replay as live
 from checks import tables as tb
@@ -137,8 +137,8 @@ def index_lookup(spark, sf):
 
 @query
 def ingest_documents(spark, sf):
-    old = index.latest_per_id(
-        ingest.index_rows(spread(tb.stored_corpus(spark, sf)), carry=["seq"]), "seq")
+    old = checkpointed(index.latest_per_id(      # stands for a stored table: read more than once
+        ingest.index_rows(spread(tb.stored_corpus(spark, sf)), carry=["seq"]), "seq"), spark)
     out = ingest.ingest_documents(spread(tb.corpus(spark, sf)), old.drop("seq"), index.index_manifest(old))
     return out.drop("embedding")
 
