@@ -72,7 +72,8 @@ def detect_pii(df: DataFrame, text: str = "text", recognizers=None,
     """One row per match: the columns of ``df`` but the text, then entity, value, score."""
     found = [_hits(F.col(text), r) for r in recognizers or RECOGNIZERS if r.score >= threshold]
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.inline(F.concat(*found)))
+    # the outer form: for the inner one the optimizer adds a filter that searches once more
+    return df.select(*keep, F.inline_outer(F.concat(*found))).filter(F.col("entity").isNotNull())
 
 
 def anonymize_pii(text, recognizers=None, threshold: float = SCORE_THRESHOLD) -> Column:

@@ -37,7 +37,7 @@ def query_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     vocabulary = terms.select("term").distinct()
     n_docs = chunks.agg(F.count("*").alias("n_docs"))
     df = (
-        chunks.select(F.explode(F.array_distinct(words("text"))).alias("term"))
+        chunks.select(F.explode_outer(F.array_distinct(words("text"))).alias("term"))
         .groupBy("term").agg(F.count("*").alias("df"))
         .join(vocabulary, "term", "left_semi"))
     idf = df.select("term", F.log(1 + (n_docs.scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -174,7 +174,7 @@ def vector_topk_lsh(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, dim:
     schema = _partial_schema(queries, chunks)
 
     def hashed(df):
-        return df.select("*", F.explode(_hyperplane_buckets(
+        return df.select("*", F.explode_outer(_hyperplane_buckets(
             F.col("embedding"), dim, tables, bits, seed)).alias("bucket"))
 
     found = _blocks(hashed(queries), hashed(chunks), schema, k, block_rows)

@@ -54,9 +54,10 @@ def html_to_text(html) -> Column:
 def extract_pages(df: DataFrame, text: str = "content", page_break: str = PAGE_BREAK) -> DataFrame:
     """One row per page, numbered from 1, in place of the text column."""
     keep = [c for c in df.columns if c != text]
+    # the outer form: for the inner one the optimizer adds a filter that makes the text once more
     return df.select(
-        *keep, F.posexplode(F.split(F.col(text), page_break)).alias("_at", "text")
-    ).select(*keep, (F.col("_at") + 1).alias("page"), "text")
+        *keep, F.posexplode_outer(F.split(F.col(text), page_break)).alias("_at", "text")
+    ).filter(F.col("text").isNotNull()).select(*keep, (F.col("_at") + 1).alias("page"), "text")
 
 
 def drop_short_pages(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:

@@ -90,7 +90,7 @@ def apply_file_events(spark, sf):
 
 
 def _pages(spark, sf):
-    web = table(spark, sf, "pages").select(
+    web = spread(table(spark, sf, "pages")).select(
         F.format_string("page-%d", "page_id").alias("source"), files.html_to_text("html").alias("content"))
     return files.extract_pages(web.unionByName(tb.corpus(spark, sf).select("source", "content")))
 
