@@ -17,6 +17,7 @@ chains one number per partition, and a second pass decides the rows of all parti
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 from fractions import Fraction
 
@@ -77,52 +78,58 @@ class Rule:
 class Pieces:
     """Outgoing state as a function of incoming state, while a run of events goes by.
 
-    Kept as intervals of the incoming state; on each the outgoing state is either one value or
-    the incoming one plus a shift. Intervals that meet in one value are merged, so the number
-    stays small once the incoming state stops mattering.
+    Kept as groups of intervals of the incoming state that share one outgoing value, and single
+    intervals on which the outgoing value still follows the incoming one. A heap gives the groups an
+    event can change; groups that meet in one value become one, so few are left once the incoming
+    state stops mattering.
     """
 
     def __init__(self):
-        # (low incoming, high incoming, outgoing at low, slope 0 or 1), by low incoming
-        self.parts = [(FRESH, -FRESH, FRESH, 1)]
+        self.count = self.made = 0
+        self.heap = []
+        self._put(FRESH, [(FRESH, -FRESH)], 1)
+
+    def _put(self, value, intervals, slope):
+        self.made += 1
+        self.count += len(intervals)
+        heapq.heappush(self.heap, (value, self.made, intervals, slope))
 
     def constant(self):
-        return self.parts[0][2] if len(self.parts) == 1 and self.parts[0][3] == 0 else None
+        """The outgoing value when it no longer depends on the incoming one."""
+        return self.heap[0][0] if len(self.heap) == 1 and self.heap[0][3] == 0 else None
 
     def reset(self, value):
-        self.parts = [(FRESH, -FRESH, value, 0)]
+        self.count, self.heap = 0, []
+        self._put(value, [(FRESH, -FRESH)], 0)
 
     def take(self, t, period, burst):
-        floor, out, changed = t - burst, [], False
-        for lo, hi, v, slope in self.parts:
-            top = v + (hi - lo) if slope else v
-            if v > t:
-                out.append((lo, hi, v, slope))
-                continue
-            changed = True
-            if slope == 0:
-                out.append((lo, hi, max(v, floor) + period, 0))
-                continue
-            at = lo
-            if v <= floor:                          # below the burst limit: all become one value
-                end = min(hi, lo + floor - v)
-                out.append((lo, end, floor + period, 0))
-                at = end + 1
-            if at <= hi and v + (at - lo) <= t:     # taken, still depends on the incoming state
-                end = min(hi, lo + t - v)
-                out.append((at, end, v + (at - lo) + period, 1))
-                at = end + 1
-            if at <= hi and top > t:                # refused: unchanged
-                out.append((at, hi, v + (at - lo), 1))
-        if changed:
-            merged = [out[0]]
-            for p in out[1:]:
-                q = merged[-1]
-                if p[3] == 0 and q[3] == 0 and p[2] == q[2]:
-                    merged[-1] = (q[0], p[1], q[2], 0)
+        floor, full, moved = t - burst, [], []
+        while self.heap and self.heap[0][0] <= t:
+            value, _, intervals, slope = heapq.heappop(self.heap)
+            self.count -= len(intervals)
+            if slope == 0 and value <= floor:
+                full = _joined(full, intervals)
+            elif slope == 0:
+                if moved and moved[-1][0] == value + period and moved[-1][2] == 0:
+                    moved[-1] = (value + period, _joined(moved[-1][1], intervals), 0)
                 else:
-                    merged.append(p)
-            self.parts = merged
+                    moved.append((value + period, intervals, 0))
+            else:
+                lo, hi = intervals[0]
+                if value <= floor:                  # the bucket is full: all end in one value
+                    end = min(hi, lo + floor - value)
+                    full.append((lo, end))
+                    value, lo = value + end + 1 - lo, end + 1
+                if lo <= hi and value <= t:         # taken, and still following
+                    end = min(hi, lo + t - value)
+                    moved.append((value + period, [(lo, end)], 1))
+                    value, lo = value + end + 1 - lo, end + 1
+                if lo <= hi:                        # refused, so unchanged
+                    moved.append((value, [(lo, hi)], 1))
+        for part in moved:
+            self._put(*part)
+        if full:
+            self._put(floor + period, full, 0)
 
     def feed(self, rule, t, op, arg):
         if op == TAKE:
@@ -132,6 +139,25 @@ class Pieces:
         elif op == CLEAR:
             self.reset(FRESH)
 
+    @property
+    def parts(self):
+        """``(low incoming, high incoming, outgoing at low, slope)`` by incoming state."""
+        out = []
+        for lo, hi, value, slope in sorted(
+                (lo, hi, value, slope) for value, _, intervals, slope in self.heap for lo, hi in intervals):
+            if out and slope == 0 == out[-1][3] and out[-1][2] == value:
+                out[-1] = (out[-1][0], hi, value, 0)
+            else:
+                out.append((lo, hi, value, slope))
+        return out
+
+
+def _joined(a, b):
+    if len(a) < len(b):
+        a, b = b, a
+    a.extend(b)
+    return a
+
 
 def evaluate(parts, state):
     at = bisect.bisect_right([p[0] for p in parts], state) - 1
@@ -166,7 +192,19 @@ def _decide(rule: Rule, has_op: bool, entering=None):
                 if seg in entering:
                     state, current, last = entering[seg][0], key[0], entering[seg][1]
             oks, leads = [False] * n, [0] * n
-            for i in range(n):
+            if not has_op and rule.idle is None:    # the common case, without calls per row
+                burst, period = rule.burst, rule.period
+                for i, (k, now) in enumerate(zip(key, t)):
+                    if k != current:
+                        current, state = k, FRESH
+                    at = now - burst
+                    if state > at:
+                        at = state
+                    leads[i] = now - at
+                    if at <= now:
+                        oks[i], state = True, at + period
+                last = t[-1]
+            for i in range(n) if has_op or rule.idle is not None else ():
                 if key[i] != current:
                     current, state, last = key[i], FRESH, t[i]
                 elif rule.idle is not None and t[i] - last >= rule.idle:
@@ -213,7 +251,7 @@ def _describe(rule: Rule, has_op: bool, max_pieces: int, entering=None):
                     if gap:
                         pieces.reset(FRESH)
                     pieces.feed(rule, t[i], o, a)
-                    if len(pieces.parts) > max_pieces:
+                    if pieces.count > max_pieces:
                         overflow, pieces = True, None
                     elif pieces.constant() is not None:
                         state, pieces = pieces.constant(), None

@@ -68,7 +68,7 @@ def test_ttl_golden_rows(spark):
 @pytest.mark.parametrize("span,capacity,rate,idle", [
     (600, 10, 1.0, None), (60, 10, 1.0, None), (5000, 3, 0.5, 7), (100_000, 5, 0.001, 3600),
     (3000, 2.5, 0.25, None)])
-@pytest.mark.parametrize("hot_rows,pieces", [(10**9, 50_000), (50, 50_000), (50, 1)])
+@pytest.mark.parametrize("hot_rows,pieces", [(10**9, 50_000), (150, 50_000), (150, 1)])
 def test_bucket_equals_model(spark, span, capacity, rate, idle, hot_rows, pieces):
     rows = skewed(1500, span, seed=span)
     df = spark.createDataFrame(rows, "key string, t long, id long")
