@@ -236,29 +236,33 @@ def _describe(rule: Rule, has_op: bool, max_pieces: int, entering=None):
             if seg is None:
                 seg = batch.column(batch.schema.get_field_index("seg"))[0].as_py()
                 first, t_first = key[0], t[0]
-            for i in range(len(key)):
-                o, a = (op[i], arg[i]) if has_op else (TAKE, 0)
-                gap = False
-                if runs == 0 or key[i] != current:
-                    runs, current, state = runs + 1, key[i], FRESH
+            starts = [i for i in range(len(key)) if i == 0 or key[i] != key[i - 1]]
+            for lo, hi in zip(starts, starts[1:] + [len(key)]):
+                goes_on = runs > 0 and key[lo] == current
+                if not goes_on:
+                    runs, current, state = runs + 1, key[lo], FRESH
                     pieces = Pieces() if runs == 1 and entering is None else None
                     if runs == 1 and entering is not None:
                         state = entering
-                else:
-                    gap = rule.idle is not None and t[i] - last >= rule.idle
-                last = t[i]
-                if pieces is not None:
-                    if gap:
-                        pieces.reset(FRESH)
-                    pieces.feed(rule, t[i], o, a)
-                    if pieces.count > max_pieces:
-                        overflow, pieces = True, None
-                    elif pieces.constant() is not None:
-                        state, pieces = pieces.constant(), None
-                else:
-                    if gap:
-                        state = FRESH
-                    state = rule.step(state, t[i], o, a)[2]
+                if runs > 1 and hi < len(key):
+                    last = t[hi - 1]
+                    continue        # this key is over: it began and ends inside the partition
+                for i in range(lo, hi):
+                    o, a = (op[i], arg[i]) if has_op else (TAKE, 0)
+                    gap = rule.idle is not None and (i > lo or goes_on) and t[i] - last >= rule.idle
+                    last = t[i]
+                    if pieces is not None:
+                        if gap:
+                            pieces.reset(FRESH)
+                        pieces.feed(rule, t[i], o, a)
+                        if pieces.count > max_pieces:
+                            overflow, pieces = True, None
+                        elif pieces.constant() is not None:
+                            state, pieces = pieces.constant(), None
+                    else:
+                        if gap:
+                            state = FRESH
+                        state = rule.step(state, t[i], o, a)[2]
         if seg is None:
             return
         if runs == 1 and overflow:
