@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askloom.llm import common, mixing, rules
+from askloom.llm import common, mixing, quality, rules, token_files
 
 QUERIES: dict = {}
 TWINS: dict = {}
@@ -37,3 +37,27 @@ def op6_quality_rules(spark, sf):
     learned = rules.fit_rules(docs, table(spark, sf, "labels"))
     return rules.apply_rules(docs, learned).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op1_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.fit_quality(docs, table(spark, sf, "labels"))
+    return quality.score_quality(docs, model).select(
+        "doc_id", (common.crc_of_id() % 4 == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op2_token_files(spark, sf):
+    import public_tokenizers
+
+    return token_files.token_file_digests(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_bpe_round_trip(spark, sf):
+    import public_tokenizers
+
+    return bpe.digests(bpe.encode_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
