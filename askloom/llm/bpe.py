@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 _GAP = r"\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[^{_GAP}]+")
+#: Latin texts take a short way: their characters are composed, and lower case one by one.
+_BEYOND = re.compile(r"[^\x00-įı-ɏ]")
+_LETTER, _DIGIT = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 MEMO = 300_000  # pieces a worker remembers
 
 
@@ -50,8 +53,8 @@ def merge_word(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]
 class Bpe:
     """A BPE vocabulary file's model. Normalizing and cutting into words is the file's own pipeline.
 
-    Texts are cut at white space first; its pieces do not affect each other, so what a piece
-    becomes is remembered. Added tokens are matched in the raw text, the leftmost first.
+    Texts are cut at white space first, Latin texts into words at once by the file's own pattern;
+    the parts do not affect each other, so what a part becomes is remembered. Added tokens are matched in the raw text, the leftmost first.
     """
 
     def __init__(self, path: str):
@@ -76,6 +79,14 @@ class Bpe:
         self.strings |= {i: s for s, i in self.added.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.memo: dict[str, bytes] = {}
+        self.latin = None
+        if [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+            steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+            pattern = (steps[0].get("pattern") or {}).get("Regex", "")
+            if steps[0].get("invert") and steps[0].get("behavior") == "Removed" and re.fullmatch(
+                    r"(?:'\w+\|)*\[\\p\{L\}\]\+\|\[\\p\{N\}\]\|\[\^\\s\\p\{L\}\\p\{N\}\]\+", pattern):
+                heads = pattern[:pattern.index("[")]
+                self.latin = re.compile(f"{heads}[{_LETTER}]+|[{_DIGIT}]|[^{_GAP}{_LETTER}{_DIGIT}]+")
 
     def _piece(self, piece: str) -> bytes:
         out: list[int] = []
@@ -92,7 +103,11 @@ class Bpe:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        memo, parts = self.memo, _PIECE.findall(text)
+        if self.latin is not None and not _BEYOND.search(text):
+            parts = self.latin.findall(text.lower())
+        else:
+            parts = _PIECE.findall(text)
+        memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
         for p in parts:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askloom.llm import common, mixing, quality, rules, token_files
+from askloom.llm import bpe, common, mixing, quality, rules, token_files
 
 QUERIES: dict = {}
 TWINS: dict = {}
