@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askloom.llm import bpe, common, mixing, quality, rules, token_files
+from askloom.llm import bpe, common, mixing, quality, rules, token_files, toxicity_grammar
 
 QUERIES: dict = {}
 TWINS: dict = {}
@@ -61,3 +61,12 @@ def op4_bpe_round_trip(spark, sf):
     import public_tokenizers
 
     return bpe.digests(bpe.encode_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op5_toxicity_grammar(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity_grammar.fit_grammar(docs, table(spark, sf, "labels"))
+    return toxicity_grammar.score_toxicity(docs, model).select(
+        "doc_id", (common.crc_of_id() % 3 == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
