@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_GAP = r"\t-\r \x85\xa0  -     　"
+_GAP = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[^{_GAP}]+")
 #: Latin texts take a short way: their characters are composed, and lower case one by one.
-_BEYOND = re.compile(r"[^\x00-įı-ɏ]")
-_LETTER, _DIGIT = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_BEYOND = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
+_LETTER, _DIGIT = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 MEMO = 300_000  # pieces a worker remembers
 
 

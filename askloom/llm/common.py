@@ -138,11 +138,12 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20,
+           gap: np.ndarray = SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, bytes, offsets) of about ``most`` bytes each; a longer text comes in several.
 
-    Parts of one text meet in a white-space byte that both have, so each word, with the white
-    space beside it, lies whole in one part; a single word above ``most`` bytes is cut.
+    Parts of one text meet in a gap byte that both have, so each word, with the gap bytes beside
+    it, lies whole in one part, however long it is.
     """
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -152,14 +153,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> Iterat
         if end - at <= most:
             yield lo, data[at:end], offsets[lo:hi + 1] - at
         else:
-            while True:
-                stop = min(end, at + most)
-                gaps = np.flatnonzero(SPACE[data[at + 1:stop]]) if stop < end else ()
-                stop = at + 1 + int(gaps[-1]) + 1 if len(gaps) else stop
-                while stop < end and not len(gaps) and data[stop] & 0xC0 == 0x80:
-                    stop += 1
+            while at < end:
+                stop, start = end, at + most
+                while start < end:
+                    gaps = np.flatnonzero(gap[data[start:start + most]][:end - start])
+                    if len(gaps):
+                        stop = start + int(gaps[0]) + 1
+                        break
+                    start += most
                 yield lo, data[at:stop], np.array([0, stop - at])
                 if stop >= end:
                     break
-                at = stop - 1 if len(gaps) else stop
+                at = stop - 1
         lo = hi

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askloom.llm import bpe, common, mixing, quality, rules, token_files, toxicity_grammar
+from askloom.llm import bpe, common, licenses, mixing, quality, rules, token_files, toxicity_grammar
 
 QUERIES: dict = {}
 TWINS: dict = {}
@@ -70,3 +70,8 @@ def op5_toxicity_grammar(spark, sf):
     return toxicity_grammar.score_toxicity(docs, model).select(
         "doc_id", (common.crc_of_id() % 3 == 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_license_scan(spark, sf):
+    return licenses.license_columns(licenses.scan_licenses(table(spark, sf, "documents")))
