@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askloom.llm import bpe, common, licenses, mixing, quality, rules, token_files, toxicity_grammar
+from askloom.llm import bpe, common, licenses, mixing, quality, rules, token_files, toxicity_grammar, vector_neardup
 
 QUERIES: dict = {}
 TWINS: dict = {}
@@ -75,3 +75,8 @@ def op5_toxicity_grammar(spark, sf):
 @query
 def op7_license_scan(spark, sf):
     return licenses.license_columns(licenses.scan_licenses(table(spark, sf, "documents")))
+
+
+@query
+def op8_vector_near_duplicates(spark, sf):
+    return vector_neardup.near_duplicate_vectors(table(spark, sf, "embeddings"))
