@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askloom.llm import bpe, common, licenses, mixing, quality, rules, token_files, toxicity_grammar, vector_neardup
+from askloom.llm import bpe, common, jaccard_join, licenses, mixing, quality, rules, token_files, toxicity_grammar, vector_neardup
 
 QUERIES: dict = {}
 TWINS: dict = {}
@@ -80,3 +80,8 @@ def op7_license_scan(spark, sf):
 @query
 def op8_vector_near_duplicates(spark, sf):
     return vector_neardup.near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op10_similar_documents(spark, sf):
+    return jaccard_join.similar_documents(table(spark, sf, "documents"))

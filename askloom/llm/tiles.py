@@ -35,14 +35,14 @@ def over_tiles(tiles: DataFrame, group: list[str], fn: Callable[[pa.Table, np.nd
                 continue
             code = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
             first = tuple(c[0] for c in code)
-            if last is not None and first != last and sum(b.num_rows for b in held) >= 4096:
+            if last is not None and first != last and sum(b.nbytes for b in held) >= 2 << 20:
                 yield from whole(held)
                 held = []
             change = np.zeros(batch.num_rows, bool)
             for c in code:
                 change[1:] |= c[1:] != c[:-1]
             at = np.flatnonzero(change)
-            if len(at):  # the tiles before the last one are whole
+            if len(at):  # all tiles but the last are whole
                 yield from whole(held + [batch.slice(0, int(at[-1]))])
                 held = [batch.slice(int(at[-1]))]
             else:
