@@ -15,7 +15,7 @@ _PIECE = re.compile(f"[^{_GAP}]+")
 #: Latin texts take a short way: their characters are composed, and lower case one by one.
 _BEYOND = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
 _LETTER, _DIGIT = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-MEMO = 300_000  # pieces a worker remembers
+MEMO = 500_000  # pieces a worker remembers
 
 
 def merge_word(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -110,10 +110,13 @@ class Bpe:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        for p in parts:
-            if p not in memo:
-                memo[p] = self._piece(p)
-        return b"".join([memo[p] for p in parts])
+        try:
+            return b"".join(map(memo.__getitem__, parts))
+        except KeyError:
+            for p in parts:
+                if p not in memo:
+                    memo[p] = self._piece(p)
+            return b"".join(map(memo.__getitem__, parts))
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings of the ids, with the blank between them that a file without decoder asks for."""

@@ -164,7 +164,7 @@ def possible_links(classes: DataFrame, threshold: float, recall: float) -> DataF
         rows = stored(level.join(sizes, "path").join(classes.select("node", "sketch"), "node"), "buckets")
         done = rows if depth == DEPTH else rows.where(~large)
         tiles = with_tiles(done, ["path"], "size", "node", SMALL).select("path", "lo", "hi", "side", "node", "sketch")
-        links = stored(over_tiles(tiles, ["path"], _compare_sketches(least_matches(threshold)), "u long, v long").distinct(), "links")
+        links = stored(over_tiles(tiles, ["path", "lo", "hi"], _compare_sketches(least_matches(threshold)), "u long, v long").distinct(), "links")
         found = links if found is None else found.unionByName(links)
         more = rows.where(large)
         if depth == DEPTH or not more.take(1):
@@ -270,7 +270,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, r
         "grp", "w.node", "size", "n", "text")
     sets = _sets(texts, width, "grp node size n")
     tiles = with_tiles(sets, ["grp"], "size", "node", 256).select("grp", "lo", "hi", "side", "node", "n", "grams")
-    found = stored(over_tiles(tiles, ["grp"], _compare_sets(threshold), "node long, links long, root long"), "links")
+    found = stored(over_tiles(tiles, ["grp", "lo", "hi"], _compare_sets(threshold), "node long, links long, root long"), "links")
     roots = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     done = (classes.select("node", "n", "least").join(links, "node", "left").join(roots, "node", "left")

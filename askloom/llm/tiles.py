@@ -21,10 +21,12 @@ def with_tiles(members: DataFrame, group: list[str], size: str, node: str, block
     return d.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other")
 
 
-def over_tiles(tiles: DataFrame, group: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]],
-               schema: str) -> DataFrame:
-    """Run ``fn(rows, bounds)`` on whole tiles, many small ones at a time; bounds cut rows into tiles."""
-    keys = [*group, "lo", "hi"]
+def over_tiles(tiles: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]],
+               schema: str, order: tuple = ("side", "node")) -> DataFrame:
+    """Run ``fn(rows, bounds)`` on whole tiles, many small ones at a time; bounds cut rows into tiles.
+
+    A tile is the rows of equal ``keys`` (whole numbers), in ``order``; it must fit a task.
+    """
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -60,4 +62,4 @@ def over_tiles(tiles: DataFrame, group: list[str], fn: Callable[[pa.Table, np.nd
         bounds = np.concatenate([[0], np.flatnonzero(change), [rows.num_rows]])
         yield from fn(rows, bounds)
 
-    return tiles.repartition(parts, *keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(run, schema)
+    return tiles.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -96,7 +96,7 @@ def vector_links(distinct: DataFrame, cosine: float, recall: float, seed: int) -
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "links", "root"])
 
     tiles = with_tiles(members, group, "size", "node", BLOCK).select(*group, "lo", "hi", "side", "node", "n", "v")
-    return over_tiles(tiles, group, compare, "node long, links long, root long")
+    return over_tiles(tiles, [*group, "lo", "hi"], compare, "node long, links long, root long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999, seed: int = 11) -> DataFrame:
