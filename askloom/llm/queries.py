@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askloom.llm import bpe, common, jaccard_join, licenses, mixing, quality, rules, token_files, toxicity_grammar, vector_neardup
+from askloom.llm import bpe, common, jaccard_join, licenses, mixing, quality, rules, spans, token_files, toxicity_grammar, vector_neardup
 
 QUERIES: dict = {}
 TWINS: dict = {}
@@ -85,3 +85,8 @@ def op8_vector_near_duplicates(spark, sf):
 @query
 def op10_similar_documents(spark, sf):
     return jaccard_join.similar_documents(table(spark, sf, "documents"))
+
+
+@query
+def op9_repeated_spans(spark, sf):
+    return spans.repeat_digests(table(spark, sf, "documents"))
