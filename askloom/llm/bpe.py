@@ -156,9 +156,9 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of ids (decimal, one blank between) and decoded text."""
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, the SHA-256 of ids (decimal, one blank between) and decoded text, and ``more`` columns."""
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -58,11 +58,14 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.searchsorted(texts, np.arange(len(column) + 1))
 
 
+def text_key(text: str):
+    """64-bit hash of a text, null where it has no word."""
+    return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (64-bit hash of the text, null where it has no word) and text."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")).alias("node"), "text")
+    """doc_id, node (``text_key``) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("node"), "text")
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -248,9 +251,13 @@ def _compare_sets(threshold: float):
     return fn
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999,
+                      by_text: bool = False) -> DataFrame:
     """doc_id, n_links, class_id, kept for every row.
 
+    With ``by_text`` instead one row for each different text with a word: node (``text_key``),
+    and kept for one text of each class, that of the least id, nulls last, then of the least node.
+
     Needs doc_id and text; other columns are ignored. Sets are of ``width`` words (runs of
     [^\\x20\\x09-\\x0D]); a text of fewer words has one n-gram of all its words, and a null or
     empty text has none and links with nothing. Equal texts become one class before the join (by
@@ -275,6 +282,9 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, r
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     done = (classes.select("node", "n", "least").join(links, "node", "left").join(roots, "node", "left")
             .withColumn("root", F.coalesce("root", "node")))
+    if by_text:
+        first = done.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("first"))
+        return done.join(first, "root").select("node", (F.col("node") == F.col("first.node")).alias("kept"))
     names = done.groupBy("root").agg(F.min("least").alias("class_id"))
     done = done.join(names, "root").select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id")

@@ -156,3 +156,12 @@ def score_quality(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFr
 
     return docs.select(F.col(keep).alias("id"), F.col("text")).mapInArrow(
         score, f"id {kind}, score double").withColumnRenamed("id", keep)
+
+
+def keep_quality(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column("text"), model) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -257,8 +257,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return copies, spans, texts.select("node", "text")
 
 
-def _kept(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """node, n_removed, n_spans, kept (bytes) of texts with repeated windows."""
+def _kept(texts: DataFrame, spans: DataFrame, as_text: bool) -> DataFrame:
+    """node, n_removed, n_spans, kept (bytes, or text without torn characters) of texts with repeated windows."""
+    kind = pa.string() if as_text else pa.binary()
+
     def run(batches):
         for batch in batches:
             texts_ = batch.column("text").cast(pa.binary())
@@ -269,17 +271,20 @@ def _kept(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], begin[1:] > past[:-1]]))
                 a, b = begin[new], past[np.concatenate([new[1:] - 1, [len(past) - 1]])]
                 edges = zip(np.concatenate([[0], b]).tolist(), np.concatenate([a, [len(raw)]]).tolist())
-                out.append((int((b - a).sum()), len(a), b"".join(raw[x:y] for x, y in edges)))
+                left = b"".join(raw[x:y] for x, y in edges)
+                out.append((int((b - a).sum()), len(a), left.decode("utf-8", "ignore") if as_text else left))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                 pa.array([x[2] for x in out], pa.binary())], ["node", "n_removed", "n_spans", "kept"])
+                 pa.array([x[2] for x in out], kind)], ["node", "n_removed", "n_spans", "kept"])
 
     return texts.dropDuplicates(["node"]).join(spans, "node").select("node", "text", "spans").mapInArrow(
-        run, "node long, n_removed long, n_spans long, kept binary")
+        run, f"node long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+
 
+def without_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """node, n_removed, n_spans, kept: one row for each text that loses something.
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """node, n_removed, n_spans, kept (bytes): one row for each text that loses something.
+    ``kept`` is bytes, or with ``as_text`` a string from which characters torn by a cut are left out.
 
     Needs doc_id and text; a null text is an empty one. Every byte covered by a WINDOW-byte string
     that also starts elsewhere, in the same or another row, is removed; strings are judged on the
@@ -289,8 +294,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copies, spans, texts = repeated_spans(docs)
     whole = _keyed(docs).select("node", F.octet_length("text").cast("long").alias("n"))
     whole = (whole.where(F.col("n") >= WINDOW).groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n_removed"))
-             .where("m > 1").select("node", "n_removed", F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept")))
-    some = _kept(texts.join(copies.where("copies = 1").select("node"), "node"), spans)
+             .where("m > 1").select("node", "n_removed", F.lit(1).cast("long").alias("n_spans"), F.lit("" if as_text else b"").alias("kept")))
+    some = _kept(texts.join(copies.where("copies = 1").select("node"), "node"), spans, as_text)
     return some.unionByName(whole)
 
 
