@@ -160,8 +160,11 @@ def score_quality(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFr
 
 def keep_quality(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any names will do
+    text = f"c{docs.columns.index('text')}"
+
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column("text"), model) >= least))
+            yield batch.filter(pa.array(_scores(batch.column(text), model) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -25,6 +25,10 @@ def _row_key(docs: DataFrame):
     return f"_p{n}"
 
 
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     common.prepare(spark)
@@ -46,7 +50,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     left = keyed.join(lost, f"{p}k", "left_anti")
     one = Window.partitionBy(f"{p}k").orderBy(F.col("doc_id").asc_nulls_last())
     some = left.where(F.col(f"{p}k").isNotNull()).withColumn(f"{p}n", F.row_number().over(one)).where(F.col(f"{p}n") == 1)
-    return some.drop(f"{p}n").unionByName(left.where(F.col(f"{p}k").isNull())).select(*docs.columns)
+    return some.drop(f"{p}n").unionByName(left.where(F.col(f"{p}k").isNull())).select(*map(_name, docs.columns))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +68,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.select(*[
         new.alias("text") if c == "text"
         else F.when(F.col(f"{p}t").isNotNull() & F.col("text").isNotNull(), F.length(f"{p}t")).otherwise(F.col(c)).cast(kind).alias(c)
-        if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+        if c == "n_chars" else F.col(_name(c)) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +85,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         taken.alias("t"), (F.col(f"d.{p}k") == F.col(f"t.{p}k")) & F.col("d.source").eqNullSafe(F.col(f"t.{p}s"))
         & (F.col(f"d.{p}n") == F.col(f"t.{p}n")))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}c")))
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], copies.alias(f"{p}e")).drop(f"{p}e")
+    return out.select(*[F.col(f"d.{_name(c)}") for c in docs.columns], copies.alias(f"{p}e")).drop(f"{p}e")
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
