@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from askloom.functions.text import let
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-# A Unicode noncharacter, never valid in exchanged text; it fences matches while they are checked.
-_FENCE = "\uffff"
 
 
 @dataclass(frozen=True)
@@ -61,10 +59,11 @@ def _hits(text: Column, r: Recognizer) -> Column:
 
 
 def _replace_checked(text: Column, r: Recognizer) -> Column:
-    """Replace the matches that pass the check: odd parts between fences are matches."""
-    fenced = F.split(F.regexp_replace(text, f"({r.pattern})", f"{_FENCE}$1{_FENCE}"), _FENCE)
-    return F.array_join(F.transform(fenced, lambda part, i: F.when(
-        (i % 2 == 1) & _passes_luhn(part), F.lit(f"<{r.entity}>")).otherwise(part)), "")
+    """Replace the matches that pass the check: what lies between matches, and the matches, in turn."""
+    between = F.split(text, r.pattern, -1)
+    matches = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
+    return F.array_join(F.zip_with(between, matches, lambda part, match: F.concat(part, F.when(
+        match.isNull(), "").when(_passes_luhn(match), f"<{r.entity}>").otherwise(match))), "")
 
 
 def detect_pii(df: DataFrame, text: str = "text", recognizers=None,

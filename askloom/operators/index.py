@@ -44,13 +44,21 @@ def upsert_index(index: DataFrame, new_rows: DataFrame, order: str = "seq") -> D
     return kept.select(*index.columns).unionByName(new.select(*index.columns))
 
 
-def apply_changes(index: DataFrame, changes: DataFrame, new_rows: DataFrame,
+def apply_changes(index: DataFrame, changes: DataFrame, new_rows: DataFrame, sources: DataFrame,
                   order: str = "seq") -> DataFrame:
-    """Last change per source applied to the index; ``new_rows`` holds the chunks to ingest."""
-    deleted = changes.filter(F.col("change") == "delete")
-    ingested = new_rows.join(
-        changes.filter(F.col("change") == "ingest").select("source"), "source", "left_semi")
-    return upsert_index(delete_sources(index, deleted), ingested, order)
+    """Last change per source applied to the index.
+
+    ``sources`` has source and file_hash of what is there now, ``new_rows`` the chunks made of it.
+    A source that is as it is stored keeps its rows. A modified one loses its old rows before its
+    new ones come, so it is gone if it yields none.
+    """
+    asked = changes.filter(F.col("change") == "ingest").select("source")
+    statuses = index_status(sources.select("source", "file_hash").join(asked, "source", "left_semi"), index_manifest(index))
+    todo = work_list(statuses)
+    lost = changes.filter(F.col("change") == "delete").select("source").unionByName(
+        todo.filter(F.col("status") == "MODIFIED").select("source"))
+    ingested = new_rows.join(todo.select("source"), "source", "left_semi")
+    return upsert_index(delete_sources(index, lost), ingested, order)
 
 
 def index_lookup(index: DataFrame, source: str, n: int = 1, fields=("id", "file_hash")) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from askloom.session import checkpointed
 
 FRESH = -(1 << 62)
+_LONGEST = 1 << 60
 HOT_KEY_ROWS = 2_000_000
 MAX_PIECES = 50_000
 
@@ -34,11 +35,9 @@ TAKE, SET, CLEAR, READ = 0, 1, 2, 3
 
 
 def _exact(x) -> Fraction:
-    """The short fraction a number stands for: 1/7200 as a float means one in 7200."""
-    f = Fraction(x).limit_denominator(1_000_000)
-    if float(f) != float(x):
-        raise ValueError(f"{x} is no fraction with a denominator up to a million")
-    return f
+    """The short fraction a number stands for, 1/7200 as a float means one in 7200; else its exact value."""
+    short = Fraction(x).limit_denominator(1_000_000_000)
+    return short if float(short) == float(x) else Fraction(x)
 
 
 class Rule:
@@ -50,15 +49,22 @@ class Rule:
 
     @classmethod
     def bucket(cls, capacity, rate_per_s, idle_s=None) -> "Rule":
-        """Exact token-bucket numbers; fractions of a microsecond become a finer unit."""
+        """Token-bucket numbers in a unit of a microsecond or, for fractions of one, finer.
+
+        They are exact where a nanosecond or a coarser unit holds them, and else rounded to a
+        nanosecond; where one of them is beyond some 36,000 years, both shrink until it is not.
+        """
         rate, size = _exact(rate_per_s), _exact(capacity)
         period = 1_000_000 / rate
         burst = (size - 1) * period
-        scale = math.lcm(period.denominator, burst.denominator)
-        if scale > 1000:
-            raise ValueError("rate and capacity need a finer unit than a nanosecond")
+        scale = min(1000, math.lcm(period.denominator, burst.denominator))
+        longest = max(period, burst)
+        if longest * scale > _LONGEST:
+            scale = 1
+        if longest > _LONGEST:
+            period, burst = period * _LONGEST / longest, burst * _LONGEST / longest
         rule = cls(0, 0, None if idle_s is None else int(idle_s * 1_000_000), scale)
-        rule.period, rule.burst = int(period * scale), int(burst * scale)
+        rule.period, rule.burst = max(1, round(period * scale)), round(burst * scale)
         return rule
 
     def step(self, state, t, op, arg):

@@ -6,6 +6,7 @@ keeps the best ``k`` per question, so what is shuffled is questions x tasks x k
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from hashlib import md5
 
@@ -78,6 +79,12 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
         Window.partitionBy("req_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def _whole(df: DataFrame, dim: int) -> DataFrame:
+    """Rows whose vector has ``dim`` numbers; null, ragged or holed vectors are near nothing."""
+    e = F.col("embedding")
+    return df.filter((F.size(e) == dim) & ~F.exists(e, lambda x: x.isNull()))
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
                 broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(req_id, embedding)`` x ``(id, embedding)`` -> ``req_id, id, distance, rank``.
@@ -86,9 +93,11 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
     enough; otherwise both sides are cut into blocks that meet in one task each.
     """
     queries, chunks = queries.select("req_id", "embedding"), chunks.select("id", "embedding")
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"),
+                       F.sum(F.length(F.col("req_id").cast("string"))).alias("ids")).first()
+    queries, chunks = _whole(queries, size["d"] or 0), _whole(chunks, size["d"] or 0)
     schema = _partial_schema(queries, chunks)
-    if size["n"] * (size["d"] or 0) * 8 <= broadcast_bytes:
+    if size["n"] * (size["d"] or 0) * 8 + (size["ids"] or 0) <= broadcast_bytes:
         table = queries.toArrow()
         shared = chunks.sparkSession.sparkContext.broadcast(
             (table.column("req_id").combine_chunks(), _matrix(table.column("embedding"))))
@@ -116,8 +125,7 @@ def _blocks(queries, chunks, schema, k, block_rows) -> DataFrame:
         return df.groupBy("bucket").agg(
             F.ceil(F.count("*") / block_rows).cast("int").alias(name))
 
-    # one row per bucket, and the number of buckets is fixed by the caller's parameters
-    sizes = F.broadcast(blocks(queries, "nq").join(blocks(chunks, "nc"), "bucket"))
+    sizes = blocks(queries, "nq").join(blocks(chunks, "nc"), "bucket")  # broadcast only if it is found small
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = queries.join(sizes, "bucket").withColumn(
         "qi", F.pmod(F.xxhash64("req_id"), F.col("nq")).cast("int")).withColumn("ci", spread("nc"))
@@ -163,14 +171,29 @@ def _hyperplane_buckets(embedding, dim: int, tables: int, bits: int, seed: int):
     return signs(embedding)
 
 
-def vector_topk_lsh(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, dim: int = 64,
-                    tables: int = 16, bits: int = 4, seed: int = 7,
+def lsh_size(n: int, cosine: float = 0.9, recall: float = 0.95) -> tuple[int, int]:
+    """Tables and bits for ``n`` chunks: buckets keep their size as the corpus grows, and a chunk
+    of the given cosine is met in some table with the given probability."""
+    bits = min(24, max(4, math.ceil(math.log2(max(n, 1) / 256 + 1))))
+    alike = (1 - math.acos(cosine) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log1p(-alike)), bits
+
+
+def vector_topk_lsh(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
+                    tables: int | None = None, bits: int | None = None, seed: int = 7,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate ``vector_topk``: only vectors that share a bucket of some table are compared.
 
-    Buckets of any size are cut into blocks. More ``bits`` compare less, more ``tables`` find more.
+    The vectors' length is taken from the questions, tables and bits from the number of chunks
+    where they are not given. Buckets of any size are cut into blocks. More ``bits`` compare less,
+    more ``tables`` find more. Null, ragged or holed vectors are left out.
     """
     queries, chunks = queries.select("req_id", "embedding"), chunks.select("id", "embedding")
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    queries, chunks = _whole(queries, dim), _whole(chunks, dim)
+    if tables is None or bits is None:
+        own = lsh_size(chunks.count())
+        tables, bits = tables or own[0], bits or own[1]
     schema = _partial_schema(queries, chunks)
 
     def hashed(df):

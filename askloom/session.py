@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     if path:
         return path
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):  # local-cluster has executors of its own
         raise ValueError(f"set {_CONF} to a folder that every executor can reach")
     path = getattr(spark, "_askloom_shared_dir", None)
     if path is None:

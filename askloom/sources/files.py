@@ -20,7 +20,8 @@ ENTITIES = [
 def scan_directory(spark: SparkSession, path: str, ext: str = ".pdf",
                    ignore_case: bool = True) -> DataFrame:
     """Files directly in ``path`` with the extension, with their bytes' fingerprint."""
-    files = spark.read.format("binaryFile").load(path)
+    any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)  # read no other file
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{any_case}").load(path)
     return with_fingerprint(
         scan_sources(files.withColumnRenamed("path", "source"), ext, ignore_case), "content")
 

@@ -70,14 +70,15 @@ def compact_index(spark: SparkSession, path: str) -> None:
 def ingest_batch(spark: SparkSession, path: str, documents: DataFrame, batch: int,
                  gone: DataFrame | None = None, embed=embed_text) -> None:
     """One micro-batch: ``source, content, seq`` rows that are new or changed, and deleted sources."""
-    if gone is not None:
-        _write(gone.select("source").distinct(), f"{path}/gone/batch={batch}")
     before = _before(spark, path, batch)
     if gone is not None:
         before = delete_sources(before, gone)
     last = documents.groupBy("source").agg(F.max_by("content", "seq").alias("content"),
                                            F.max("seq").alias("seq"))
     todo = work_list(index_status(with_fingerprint(last), index_manifest(before)))
+    # a modified source loses its old rows even if its new content yields none
+    lost = todo.filter(F.col("status") == "MODIFIED").select("source")
+    _write((lost if gone is None else lost.unionByName(gone.select("source"))).distinct(), f"{path}/gone/batch={batch}")
     _write(index_rows(todo, embed, carry=["seq"]), f"{path}/chunks/batch={batch}")
 
 

@@ -84,9 +84,12 @@ def file_changes(spark, sf):
 
 @query
 def apply_file_events(spark, sf):
+    corpus = tb.corpus(spark, sf)
+    long = files.drop_short_pages(corpus.withColumnRenamed("content", "text"), 300)  # the others yield no chunk
     return index.apply_changes(
         tb.stored_index(spark, sf), ev.file_changes(tb.file_events(spark, sf)),
-        tb.whole_rows(tb.corpus(spark, sf))).select("id", "source", "file_hash")
+        tb.whole_rows(long.withColumnRenamed("text", "content")), files.with_fingerprint(corpus)).select(
+        "id", "source", "file_hash")
 
 
 def _pages(spark, sf):
@@ -167,7 +170,7 @@ def vector_topk(spark, sf):
 
 @query
 def vector_topk_lsh(spark, sf):
-    return retrieve.vector_topk_lsh(*_vectors(spark, sf))
+    return retrieve.vector_topk_lsh(*_vectors(spark, sf), tables=16, bits=4)
 
 
 def _candidates(spark, sf):

@@ -90,18 +90,18 @@ TWINS["file_changes"] = f"WITH {_CHANGES} SELECT source, change, event_id FROM c
 
 _NEW_ROWS = """
 fresh AS (SELECT 'doc_' || substr(file_hash, 1, 8) || '_p1_c0' AS id, source, file_hash FROM corpus
-          WHERE source IN ({todo})
+          WHERE source IN ({todo}) AND {chunks}
           QUALIFY row_number() OVER (PARTITION BY substr(file_hash, 1, 8) ORDER BY seq DESC) = 1)
 SELECT id, source, file_hash FROM old
 WHERE source NOT IN ({gone}) AND source NOT IN ({todo}) AND id NOT IN (SELECT id FROM fresh)
 UNION ALL SELECT id, source, file_hash FROM fresh"""
 
 TWINS["apply_file_events"] = f"WITH {_CORPUS}, {_CHANGES}, " + _NEW_ROWS.format(
-    todo="SELECT source FROM changes JOIN corpus USING (source) WHERE change = 'ingest'",
-    gone="SELECT source FROM changes WHERE change = 'delete'")
+    todo="SELECT source FROM changes JOIN statuses USING (source) WHERE change = 'ingest' AND status <> 'UNCHANGED'",
+    gone="SELECT source FROM changes WHERE change = 'delete'", chunks=f"length({strip('content')}) >= 300")
 
 TWINS["upsert_index"] = f"WITH {_CORPUS}, " + _NEW_ROWS.format(
-    todo="SELECT source FROM statuses WHERE status <> 'UNCHANGED'", gone="SELECT 'none'")
+    todo="SELECT source FROM statuses WHERE status <> 'UNCHANGED'", gone="SELECT 'none'", chunks="TRUE")
 
 TWINS["delete_source"] = f"""
 WITH {_CORPUS} SELECT id, source, file_hash FROM old

@@ -90,3 +90,12 @@ def test_input_verdicts(spark):
     got = one(spark, [("fine", 0.99, False)], gi.validate_input("x", "s", F.col("p")),
               "x string, s double, p boolean")
     assert got[0].status == "ACCEPTED"
+
+
+def test_no_character_shields_a_card_number(spark):
+    texts = ["\uffff card 4111 1111 1111 1111.", "4111111111111111\uffff4111111111111111", "\uffff", "no 1234 5678 9012 3456 card",
+             "4111 1111 1111 1111", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r[0] for r in df.orderBy("i").select(gi.anonymize_pii("text")).collect()]
+    assert got[0] == "\uffff card <CREDIT_CARD>." and got[1] == "<CREDIT_CARD>\uffff<CREDIT_CARD>"
+    assert got[2] == "\uffff" and "<CREDIT_CARD>" not in got[3] and got[4] == "<CREDIT_CARD>" and got[5] == ""

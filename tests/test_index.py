@@ -92,6 +92,21 @@ def test_batches_merge_and_repeat(spark, tmp_path):
     assert rows_of(spark, path) == [("/e", "one so")]
 
 
+def test_modified_source_without_chunks_is_gone(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    live.create_index(spark, path)
+    schema = "source string, content string, seq long"
+    live.ingest_batch(spark, path, spark.createDataFrame([("/a", "one " + LONG, 1), ("/b", "two " + LONG, 2)], schema), 0)
+    live.ingest_batch(spark, path, spark.createDataFrame([("/a", "tiny", 3), ("/b", "two " + LONG, 4)], schema), 1)
+    assert [s for s, _ in rows_of(spark, path)] == ["/b"]
+    index_ = spark.createDataFrame([("i1", "/a", "h1"), ("i2", "/b", "h2"), ("i3", "/c", "h3")], "id string, source string, file_hash string")
+    changes = spark.createDataFrame([("/a", "ingest"), ("/b", "ingest"), ("/c", "delete"), ("/x", "ingest")], "source string, change string")
+    now = spark.createDataFrame([("/a", "h9"), ("/b", "h2"), ("/c", "h3")], "source string, file_hash string")
+    rows = spark.createDataFrame([("new", "/b", "h2", 1)], "id string, source string, file_hash string, seq long")
+    from askloom.operators import index
+    assert [tuple(r) for r in index.apply_changes(index_, changes, rows, now).collect()] == [("i2", "/b", "h2")]
+
+
 def test_event_batch(spark, tmp_path):
     path = str(tmp_path / "ix")
     live.create_index(spark, path)

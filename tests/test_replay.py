@@ -150,10 +150,14 @@ def test_pieces_describe_a_run_exactly():
             assert evaluate(p.parts, start) == state
 
 
-def test_rates_that_cannot_be_exact_are_refused():
+def test_every_rate_is_accepted(spark):
     assert Rule.bucket(3, 1 / 7200).period == 7200 * S
-    with pytest.raises(ValueError):
-        Rule.bucket(3, 0.1234567890123)
+    assert Rule.bucket(3, 1 / 7_000_000).period == 7_000_000 * S
+    for rate in (0.1234567890123, 0.0123456789, 1 / 7_000_000, 3.7, 1e-9, 1e-300):
+        rows = skewed(200, max(10, min(40_000_000, int(60 / rate))), seed=9)
+        df = spark.createDataFrame(rows, "key string, t long, id long")
+        got = {r.id: r.allowed for r in throttle.token_bucket(df, 3, rate, None).collect()}
+        assert got == {i: v[0] for i, v in bucket_model(rows, 3, rate).items()}
 
 
 def test_cache_key_golden_rows(spark):

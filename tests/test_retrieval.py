@@ -44,7 +44,7 @@ def test_lsh_recall_is_what_the_angles_promise(spark):
     q = e.select(F.col("vec_id").alias("req_id"), "embedding")
     c = e.select(F.col("vec_id").alias("id"), "embedding")
     best = {(r.req_id, r.id): r.distance for r in retrieve.vector_topk(q, c).collect()}
-    near = {(r.req_id, r.id): r.distance for r in retrieve.vector_topk_lsh(q, c, block_rows=100).collect()}
+    near = {(r.req_id, r.id): r.distance for r in retrieve.vector_topk_lsh(q, c, tables=16, bits=4, block_rows=100).collect()}
     side = 1 - np.arccos(np.clip(1 - np.array(list(best.values())), -1, 1)) / np.pi
     promised = np.mean(1 - (1 - side ** 4) ** 16)
     assert abs(len(set(best) & set(near)) / len(best) - promised) < 0.03
@@ -99,3 +99,18 @@ def test_request_outcomes(spark):
     assert [out[i].code for i in (1, 3, 4, 5)] == [200, 400, 429, 422]
     assert out[1].answer == "paris capital france river seine" and out[2].sources == ["a.pdf"]
     assert out[5].reason == "HALLUCINATION_RISK"
+
+
+def test_lsh_takes_its_size_from_the_data(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((40, 256))
+    rows = [(i, (base[i % 40] + 0.1 * rng.standard_normal(256)).tolist()) for i in range(4000)]
+    c = spark.createDataFrame(rows + [(9001, None), (9002, [1.0]), (9003, [None] * 256)], "id long, embedding array<double>")
+    q = spark.createDataFrame([(i, base[i].tolist()) for i in range(20)] + [(99, None)], "req_id long, embedding array<double>")
+    exact = {(r.req_id, r.id) for r in retrieve.vector_topk(q, c).collect()}
+    near = {(r.req_id, r.id) for r in retrieve.vector_topk_lsh(q, c).collect()}
+    assert len(exact) == 200 and len(exact & near) >= 180
+    sizes = [retrieve.lsh_size(n) for n in (10 ** 4, 10 ** 6, 10 ** 8)]
+    assert all(t * 2.0 ** -b < 0.5 ** k for k, (t, b) in enumerate(sizes))  # share of the corpus compared falls
