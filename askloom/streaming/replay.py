@@ -3,6 +3,11 @@
 One micro-batch is sorted by ``(t, id)`` per key before it is replayed; rows that arrive in a later
 micro-batch than their successors are decided in arrival order. What one key can bring into memory
 is a micro-batch at most, so bound that at the source (``maxFilesPerTrigger`` and the like).
+
+A key's state is dropped in event time: once the watermark has passed the instant from which the
+state cannot be told from a fresh one, no row can come that would notice. So results do not depend
+on how fast a backlog is read, and silent keys hold nothing. Rows later than ``lateness`` behind
+the watermark are left out by Spark.
 """
 
 from __future__ import annotations
@@ -13,22 +18,27 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from askloom.operators.replay import FRESH, TAKE, Rule
 
+#: Added to event times, since a watermark starts at the epoch and leaves out what is not after it.
+_SHIFT_MS = 1 << 42
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Replay(StatefulProcessor):
-    def __init__(self, rule: Rule, columns: list[str], ttl_ms: int | None):
-        self.rule, self.columns, self.ttl_ms = rule, columns, ttl_ms
+    def __init__(self, rule: Rule, columns: list[str]):
+        self.rule, self.columns = rule, columns
 
     def init(self, handle):
-        schema = "at bigint, last bigint"
-        self.state = (handle.getValueState("bucket", schema, self.ttl_ms) if self.ttl_ms
-                      else handle.getValueState("bucket", schema))
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "at bigint, last bigint, timer bigint")
+
+    def _fresh_ms(self, at: int) -> int:
+        """Event time in milliseconds from which a state is as good as none."""
+        return max(0, min(1 << 52, _SHIFT_MS - (-(at + self.rule.burst) // (1000 * self.rule.scale)) + 1))
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         rule = self.rule
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"], kind="stable")
-        at, last = self.state.get() if self.state.exists() else (FRESH, None)
+        at, last, timer = self.state.get() if self.state.exists() else (FRESH, None, None)
         has_op = "op" in pdf.columns
         ok, lead = [], []
         for i, t in enumerate((pdf["t"] * rule.scale).tolist()):
@@ -40,38 +50,50 @@ class _Replay(StatefulProcessor):
             last = t
             ok.append(o)
             lead.append(l)
-        self.state.update((at, last))
+        if timer is None:
+            timer = self._fresh_ms(at)
+            self.handle.registerTimer(timer)
+        self.state.update((at, last, timer))
         yield pdf.assign(ok=ok, lead=lead)[self.columns]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.state.exists():
+            at, last, timer = self.state.get()
+            due = self._fresh_ms(at)
+            if due <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
+            else:  # the key was used since the timer was set
+                self.handle.registerTimer(due)
+                self.state.update((at, last, due))
+        return iter([])
+
     def close(self):
         pass
 
 
-def replay_stream(events: DataFrame, rule: Rule, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming ``key, t, id`` (``op, arg``) -> plus ``ok, lead``.
-
-    ``ttl_ms`` lets the state of silent keys go after that much processing time.
-    """
+def replay_stream(events: DataFrame, rule: Rule, lateness: str = "1 day") -> DataFrame:
+    """Streaming ``key, t, id`` (``op, arg``) -> plus ``ok, lead``."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    timed = events.withColumn("_seen", F.timestamp_micros(F.col("t") + _SHIFT_MS * 1000)).withWatermark("_seen", lateness)
     schema = T.StructType(events.schema.fields + [
         T.StructField("ok", T.BooleanType()), T.StructField("lead", T.LongType())])
-    return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Replay(rule, schema.names, ttl_ms), outputStructType=schema,
-        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    return timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Replay(rule, schema.names), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime")
 
 
 def token_bucket_stream(events: DataFrame, capacity, refill_per_s, idle_s: int | None = None,
-                        ttl_ms: int | None = None) -> DataFrame:
+                        lateness: str = "1 day") -> DataFrame:
     from askloom.operators.throttle import bucket_columns
 
     rule = Rule.bucket(capacity, refill_per_s, idle_s)
-    return replay_stream(events, rule, ttl_ms).select(*events.columns, *bucket_columns(rule))
+    return replay_stream(events, rule, lateness).select(*events.columns, *bucket_columns(rule))
 
 
-def cache_stream(events: DataFrame, ttl_s: int, ttl_ms: int | None = None) -> DataFrame:
-    out = replay_stream(events, Rule(int(ttl_s * 1_000_000)), ttl_ms)
+def cache_stream(events: DataFrame, ttl_s: int, lateness: str = "1 day") -> DataFrame:
+    out = replay_stream(events, Rule(int(ttl_s * 1_000_000)), lateness)
     return out.select(*events.columns, F.when(F.col("ok"), "MISS").otherwise("HIT").alias("outcome"))
 
 
-def dedup_events_stream(events: DataFrame, busy_us: int, ttl_ms: int | None = None) -> DataFrame:
-    return replay_stream(events, Rule(busy_us), ttl_ms).filter("ok").drop("ok", "lead")
+def dedup_events_stream(events: DataFrame, busy_us: int, lateness: str = "1 day") -> DataFrame:
+    return replay_stream(events, Rule(busy_us), lateness).filter("ok").drop("ok", "lead")

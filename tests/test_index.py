@@ -157,3 +157,18 @@ def test_streamed_dedup_drops_inside_interval(spark, tmp_path):
     live_replay.dedup_events_stream(stream, 10).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 3, 5]
+
+
+def test_state_of_silent_keys_is_dropped_in_event_time(spark, tmp_path):
+    """A slow backlog must not lose live state, and a key whose bucket is full again holds none."""
+    schema, src, out = "key string, t long, id long", str(tmp_path / "in"), str(tmp_path / "out")
+    hour = 3_600_000_000
+    days = [[("a", 0, 0), ("a", 1, 1), ("b", 2, 2)], [("c", 90 * hour, 3)], [("c", 91 * hour, 4)], [("c", 92 * hour, 5), ("a", 92 * hour, 6)]]
+    for part in days:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        query = live_replay.token_bucket_stream(stream, 2, 1 / 7200).writeStream.format("parquet").option(
+            "path", out).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert {r.id: r.remaining for r in spark.read.parquet(out).collect()} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # c, a and their timers
