@@ -1,14 +1,17 @@
-"""Separator-aware greedy chunking, as one expression per page.
+"""Separator-aware greedy chunking.
 
 A page is cut into leaves: pieces that start with their separator. A piece that is still too long
 is cut again with the separators that come after. Leaves of one level that follow each other are
-packed greedily, keeping a tail of whole leaves as overlap. Everything is a fold over the leaves
-of one row, so pages never move and the work is linear in the text.
+packed greedily, keeping a tail of whole leaves as overlap. Pages never move and the work is linear
+in the text: it goes leaf by leaf through an Arrow UDF, since a fold in SQL copies all chunks so
+far at every leaf.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from askloom.functions.text import WHITESPACE
 from askloom.sources.files import SHORT_HASH
@@ -19,80 +22,72 @@ CHUNK_OVERLAP = 150
 SEPARATORS = ["\n\n", "\n", " "]
 
 
-_START, _END = "\\Q", "\\E"   # a pattern between these is taken literally
-
-
-def _text(value: str) -> str:
-    """A string as a SQL literal, whatever characters are in it."""
-    return f"CAST(X'{value.encode().hex()}' AS STRING)"
-
-
-def _literally(sep: str) -> str:
-    """A separator as a pattern."""
-    return _text(_START + sep + _END)
-
-
-def _leaf(text: str, group: str, sep: str) -> str:
-    return f"array(named_struct('t', {text}, 'g', {group}, 'sep', {_text(sep)}))"
-
-
-def _leaves(text: str, seps: list[str], size: int, group: str, depth: int = 0) -> str:
-    """Array of ``struct<t, g, sep>``: leaves in reading order. Equal ``g`` side by side may be
-    packed; ``sep`` is what the leaf was cut at."""
+def _leaves(text: str, seps: list[str], size: int, group: tuple):
+    """(piece, group) in reading order; pieces of one group side by side may be packed."""
+    while seps and seps[0] not in text:
+        seps = seps[1:]
     if not seps:
-        return _leaf(text, f"concat({group}, '!')", "")
-    sep, rest, p, i = seps[0], seps[1:], f"p{depth}", f"i{depth}"
-    pieces = (f"filter(transform(split({text}, {_literally(sep)}), "
-              f"(x, j) -> IF(j = 0, x, concat({_text(sep)}, x))), x -> x != '')")
-    deeper = _leaves(p, rest, size, f"concat({group}, '.', string({i}))", depth + 1)
-    return (f"IF(contains({text}, {_text(sep)}), "
-            f"flatten(transform({pieces}, ({p}, {i}) -> IF(length({p}) < {size}, "
-            f"{_leaf(p, group, sep)}, {deeper}))), "
-            f"{_leaves(text, rest, size, group, depth)})")
-
-
-def _pack(leaves: str, size: int, overlap: int) -> str:
-    """Greedy packing. State: group, text held, its length, chunks so far.
-
-    When a chunk is full, cutting the held text again finds its leaves, so the fold need not carry
-    them along: the longest run of whole leaves at its end that fits is kept as overlap.
+        yield text, (*group, None)
+        return
+    sep, at = seps[0], 0
+    for i, part in enumerate(text.split(sep)):
+        piece = part if i == 0 else sep + part
+        if not piece:
+            continue
+        if len(piece) < size:
+            yield piece, group
+        else:
+            yield from _leaves(piece, seps[1:], size, (*group, at))
+        at += 1
+
+
+def chunks_of(text: str, size: int, overlap: int, seps: list[str]) -> list[str]:
+    """The chunks of one text: leaves are held until the next would not fit or is of another group.
+
+    A full chunk leaves the longest run of whole leaves at its end that is no longer than the
+    overlap and fits together with the next leaf.
     """
-    flush = f"concat(s.out, array(btrim(s.cur, {_text(WHITESPACE)})))"
-    lengths = (f"transform(split(s.cur, concat({_text(_START)}, leaf.sep, {_text(_END)})), "
-               "(x, j) -> length(x) + IF(j = 0, 0, length(leaf.sep)))")
-    keep = (f"aggregate(reverse({lengths}), named_struct('n', 0, 'open', true), "
-            f"(a, x) -> IF(a.open AND a.n + x <= least({overlap}, {size} - length(leaf.t)), "
-            f"named_struct('n', a.n + x, 'open', true), named_struct('n', a.n, 'open', false)), a -> a.n)")
-    return f"""
-    aggregate({leaves},
-      named_struct('g', '', 'cur', '', 'n', 0, 'out', CAST(array() AS ARRAY<STRING>)),
-      (s, leaf) -> CASE
-        WHEN s.g = leaf.g AND s.n + length(leaf.t) <= {size} THEN
-          named_struct('g', s.g, 'cur', concat(s.cur, leaf.t), 'n', s.n + length(leaf.t), 'out', s.out)
-        WHEN s.g = leaf.g THEN
-          element_at(transform(array({keep}), k -> named_struct(
-            'g', s.g, 'cur', concat(substring(s.cur, s.n - k + 1, k), leaf.t),
-            'n', k + length(leaf.t), 'out', {flush})), 1)
-        ELSE named_struct('g', leaf.g, 'cur', leaf.t, 'n', length(leaf.t), 'out', {flush})
-      END,
-      s -> filter({flush}, c -> c != ''))"""
+    out, held, total, group = [], [], 0, ()
+
+    def flush():
+        if chunk := "".join(held).strip(WHITESPACE):
+            out.append(chunk)
+
+    for leaf, g in _leaves(text, seps, size, (0,)):
+        if g != group:
+            flush()
+            held, total, group = [], 0, g
+        elif total + len(leaf) > size:
+            flush()
+            room, keep, first = min(overlap, size - len(leaf)), 0, len(held)
+            while first and keep + len(held[first - 1]) <= room:
+                first -= 1
+                keep += len(held[first])
+            held, total = held[first:], keep
+        held.append(leaf)
+        total += len(leaf)
+    flush()
+    return out
 
 
 def split_text(column: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                separators: list[str] | None = None) -> Column:
-    """The chunks of a text column, in reading order.
+    """The chunks of a text column, in reading order; none for a null text."""
+    seps = list(SEPARATORS if separators is None else separators)
 
-    Written as SQL text: one call to the JVM instead of the thousands a built-up expression needs.
-    """
-    seps = SEPARATORS if separators is None else separators
-    return F.expr(_pack(_leaves(f"`{column}`", seps, size, "'0'"), size, overlap))
+    @arrow_udf("array<string>")
+    def chunks(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else chunks_of(t, size, overlap, seps) for t in texts.to_pylist()],
+                        pa.list_(pa.string()))
+
+    return chunks(F.col(column))
 
 
 def chunk_pages(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                 separators: list[str] | None = None) -> DataFrame:
     """One row per chunk in place of ``text``; ``chunk_idx`` counts from 0 on each page."""
     keep = [c for c in pages.columns if c != "text"]
-    # The outer form: for the inner one the optimizer adds a filter that folds every page again.
+    # The outer form: for the inner one the optimizer adds a filter that cuts every page again.
     return pages.select(*keep, F.posexplode_outer(
         split_text("text", size, overlap, separators)).alias("chunk_idx", "text")
     ).filter(F.col("text").isNotNull())
