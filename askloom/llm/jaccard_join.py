@@ -23,8 +23,9 @@ from askloom.llm.components import connected_components, forest
 from askloom.llm.tiles import over_tiles, with_tiles
 
 SKETCH = 64
-SMALL = 512
+SMALL = 256
 DEPTH = 4
+FIRST = 4    # runs before groups are formed
 SLACK = 4.0  # standard deviations that a sketch's estimate may fall short of the threshold
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -156,13 +157,29 @@ def _compare_sketches(least: int):
 
 
 def possible_links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """u, v: links that join every two classes (node, sketch) which the sketches leave possible."""
-    spark = classes.sparkSession
+    """node, root: groups that hold every two classes (node, sketch) which the sketches leave possible.
+
+    After FIRST runs only buckets of more than one group so far are looked into, since comparing
+    within a group adds nothing: a large group of near copies is compared in a few runs, not all.
+    """
     starts = [int(mix(np.array([1000 + r], np.uint64))[0]) for r in range(runs_for(threshold, recall))]
+    links = _pass(classes, threshold, starts[:FIRST], None)
+    groups = stored(connected_components(links), "groups")
+    return connected_components(_pass(classes, threshold, starts[FIRST:], groups).unionByName(
+        groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+
+def _pass(classes: DataFrame, threshold: float, starts: list[int], groups: DataFrame | None) -> DataFrame:
+    """u, v: links found in these runs, one DEPTH after the other."""
     level = stored(_split(classes, threshold, starts), "paths")
     found, depth = None, 1
     while True:
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        if groups is None:
+            sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        else:
+            group = F.coalesce("root", "node")
+            sizes = level.join(groups, "node", "left").groupBy("path").agg(
+                F.count(F.lit(1)).alias("size"), F.min(group).alias("a"), F.max(group).alias("b")).where("a <> b").drop("a", "b")
         large = F.col("size") > SMALL
         rows = stored(level.join(sizes, "path").join(classes.select("node", "sketch"), "node"), "buckets")
         done = rows if depth == DEPTH else rows.where(~large)
@@ -268,8 +285,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, r
     made = stored(sketches(docs, width), "sketches")
     classes = stored(made.where("node is not null").groupBy("node").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "classes")
-    groups = connected_components(possible_links(classes, threshold, recall))
-    groups = stored(groups.withColumnRenamed("root", "grp"), "groups")
+    groups = stored(possible_links(classes, threshold, recall).withColumnRenamed("root", "grp"), "groups")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     # one text of each class that is in a group
     wanted = groups.join(sizes, "grp").join(classes.select("node", "n", "least"), "node")
