@@ -216,7 +216,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     low = F.col("spot").bitwiseAND(F.lit(65535))
     cut = _pieces(texts).withColumn("sid", F.xxhash64("key", low, "piece"))
     cut = stored(cut, "pieces")
-    places = cut.select("sid", "node", "spot").distinct()
+    places = stored(cut.select("sid", "node", "spot").distinct(), "places")
     distinct = cut.groupBy("sid").agg(F.first("key").alias("key"), F.first(low).alias("spot"), F.first("piece").alias("piece"))
     sizes = cut.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("key")
     groups = stored(distinct.join(sizes, "key"), "groups")
@@ -227,9 +227,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     large = stored(groups.where(F.col("size") > LARGEST), "large")
     if large.take(1):
         masks = masks.unionByName(_split_windows(large))
-    masks = stored(masks, "masks")
     twice = places.groupBy("sid").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    marked = places.join(twice, "sid", "left").join(masks, "sid", "left").where("m is not null or windows is not null")
+    # one row for each piece that has a repeat; a piece at very many places is split in this join
+    marks = stored(masks.join(twice, "sid", "full"), "marks")
+    marked = places.join(marks, "sid")
 
     def ranges(batches):
         for batch in batches:

@@ -48,9 +48,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     members = common.stored(jaccard_join.similar_documents(docs.select("doc_id", "text"), by_text=True), "members")
     lost = members.where("not kept").select(F.col("node").alias(f"{p}k"))
     left = keyed.join(lost, f"{p}k", "left_anti")
-    one = Window.partitionBy(f"{p}k").orderBy(F.col("doc_id").asc_nulls_last())
-    some = left.where(F.col(f"{p}k").isNotNull()).withColumn(f"{p}n", F.row_number().over(one)).where(F.col(f"{p}n") == 1)
-    return some.drop(f"{p}n").unionByName(left.where(F.col(f"{p}k").isNull())).select(*map(_name, docs.columns))
+    whole = F.struct(*[F.col(_name(c)) for c in docs.columns])  # the least is taken before the shuffle too
+    some = left.where(F.col(f"{p}k").isNotNull()).groupBy(f"{p}k").agg(
+        F.min_by(whole, F.struct(F.col("doc_id").isNull(), "doc_id")).alias(f"{p}r"))
+    return some.select(f"{p}r.*").unionByName(left.where(F.col(f"{p}k").isNull()).select(*map(_name, docs.columns)))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
