@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,25 +151,66 @@ def automaton() -> Automaton:
     return _AUTOMATON[0]
 
 
-def chains(matches: list[tuple[int, int, int, int]], lengths: list[int]) -> dict[int, list[tuple[int, int, int]]]:
-    """Best chain of each template: spans (first word in the text, first word in the template, words).
+def _chained(matches):
+    """(template, words covered, spans) of the best chain that ends with each match.
 
-    matches: (template, text start, template start, words), by text start. Each match joins the
-    chain before it that covers most of the template, among those within GAP on both sides.
+    matches: (part of the text, template, text start, template start, words), by text start. Each
+    match joins the chain before it in its part that covers most of the template, among those
+    within GAP on both sides.
     """
-    best: dict[int, tuple[int, list]] = {}
-    open_: dict[int, list[tuple[int, int, int, list]]] = {}
-    for t, a, b, n in matches:
-        rows = open_[t] = [r for r in open_.get(t, []) if a - r[1] <= GAP]  # later matches start later
-        choice = (0, [])
-        for covered, ea, eb, spans in rows:
+    open_: dict[tuple[int, int], list[tuple[int, int, int, list]]] = {}
+    for part, t, a, b, n in matches:
+        rows = open_[part, t] = [r for r in open_.get((part, t), []) if a - r[1] <= GAP]  # later matches start later
+        choice = (0, None)
+        for covered, ea, eb, chain in rows:
             if 0 <= a - ea and 0 <= b - eb <= GAP and covered > choice[0]:
-                choice = (covered, spans)
-        row = (choice[0] + n, a + n, b + n, choice[1] + [(a, b, n)])
-        rows.append(row)
-        if row[0] > best.get(t, (0, []))[0]:
-            best[t] = (row[0], row[3])
-    return {t: spans for t, (_, spans) in best.items()}
+                choice = (covered, chain)
+        chain = (choice[1], (a, b, n))      # linked backwards: chains share their beginnings
+        rows.append((choice[0] + n, a + n, b + n, chain))
+        yield t, choice[0] + n, chain
+
+
+def _unlinked(chain) -> list[tuple[int, int, int]]:
+    out = []
+    while chain:
+        chain, span = chain
+        out.append(span)
+    return out[::-1]
+
+
+def chains(matches: list[tuple[int, int, int, int]], passes) -> dict[int, tuple[int, list]]:
+    """For each template: words covered by its best chain, and all its chains that pass.
+
+    matches: (template, text start, template start, words), by text start. A chain is a list of
+    spans (first word in the text, first word in the template, words); ``passes(template, covered)``
+    says whether it covers enough. Those that cover most come first, and of one template no two overlap in
+    the text; what lies between the chosen ones is chained again until nothing there passes.
+    """
+    best: dict[int, int] = {}
+    taken: dict[int, list[tuple[int, int, list]]] = {}
+    left = [(0, *m) for m in matches]
+    while left:
+        found = []
+        for t, covered, chain in _chained(left):
+            best[t] = max(best.get(t, 0), covered)
+            if passes(t, covered):
+                found.append((t, covered, chain))
+        grown = set()
+        for t, covered, chain in sorted(found, key=lambda f: -f[1]):
+            spans = _unlinked(chain)
+            row, have = (spans[0][0], spans[-1][0] + spans[-1][2], spans), taken.setdefault(t, [])
+            at = bisect_left(have, row[:2])
+            if (at == 0 or have[at - 1][1] <= row[0]) and (at == len(have) or row[1] <= have[at][0]):
+                have.insert(at, row)
+                grown.add(t)
+        rest = []
+        for _, t, a, b, n in left:
+            if t in grown:
+                at = bisect_left(taken[t], (a + n,))        # chosen chains that start before the match ends
+                if at == 0 or taken[t][at - 1][1] <= a:
+                    rest.append((at, t, a, b, n))
+        left = rest
+    return {t: (covered, [spans for *_, spans in taken.get(t, [])]) for t, covered in best.items()}
 
 
 def _scan_text(auto: Automaton, runs: list[tuple[int, list[int]]]) -> dict:
@@ -183,12 +225,13 @@ def _scan_text(auto: Automaton, runs: list[tuple[int, list[int]]]) -> dict:
             if n >= LEAST and (i + 1 == len(stats) or stats[i + 1][1] <= n):
                 matches += [(t, first + i - n + 1, at - n + 1, n) for t, at in sorted(auto.states[s].ends)]
     labels, spans, score = set(base), [], 1.0 if base else 0.0
-    for t, chain in chains(sorted(matches, key=lambda m: (m[1], m[0], m[2])), auto.lengths).items():
-        covered = sum(n for _, _, n in chain)
+    enough = lambda t, covered: covered >= COVERED_WORDS and covered >= COVERED * auto.lengths[t]
+    found = chains(sorted(matches, key=lambda m: (m[1], m[0], m[2])), enough)
+    for t, (covered, passed) in found.items():
         score = max(score, min(1.0, covered / auto.lengths[t]))
-        if covered >= COVERED_WORDS and covered >= COVERED * auto.lengths[t]:
+        for chain in passed:
             labels.add(auto.labels[t])
-            spans.append((auto.labels[t], chain[0][0], chain[-1][0] + chain[-1][2], covered))
+            spans.append((auto.labels[t], chain[0][0], chain[-1][0] + chain[-1][2], sum(n for _, _, n in chain)))
     return {"places": places, "base": base, "labels": labels, "spans": sorted(spans), "score": score}
 
 
@@ -200,7 +243,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, places, base_labels, labels, score, spans for every whole text.
 
     Words are runs of digits, a-z (A-Z lowered) and bytes over 0x7F. ``places`` are the starts of
-    all PHRASES; ``spans`` are template spans covered by chained matches; ``score`` is the largest
+    all PHRASES; ``spans`` are all template spans covered by chained matches, none overlapping another
+    of its template; ``score`` is the largest
     covered share of a template, 1 with a phrase. Labels are sorted and comma-joined. A null or
     empty text has no words and empty labels; ids may be null or repeat; other columns are dropped.
     A text is read in pieces; only runs of words of which each neighbouring pair is in a template

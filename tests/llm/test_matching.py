@@ -69,6 +69,21 @@ def test_license_templates_survive_small_edits(frame):
     assert licenses.scan_licenses(frame([])).count() == 0
 
 
+def test_license_notice_repeated_gives_every_span(frame):
+    """Notices apart, back to back, edited, cut off at the start of another one; and very many of them."""
+    w = [t.split() for l, t in licenses.TEMPLATES if l == "mit"][0]
+    edited, part = w[:20] + ["edited"] + w[21:], w[:15]
+    apart = ["x"] * 9
+    text = w + apart + edited + w + w + part + w + apart + part
+    starts = np.cumsum([0, len(w) + 9, len(w), len(w), len(w) + len(part)]).tolist()
+    rows = [(1, " ".join(text), "a"), (2, " ".join((w + ["y"]) * 5000), "a")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(rows)).collect()}
+    assert [(s["first"], s["past"], s["covered"]) for s in got[1]["spans"]] == [
+        (a, a + len(w), len(w) - (k == 1)) for k, a in enumerate(starts)]
+    assert [s["first"] for s in got[2]["spans"]] == [k * (len(w) + 1) for k in range(5000)]
+    assert all(r["labels"] == "mit" and r["score"] == 1 for r in got.values())
+
+
 def test_matching_statistics_are_longest_matches():
     auto = licenses.Automaton([("x", "a b c a b d"), ("y", "b d e b")], {"a b": "p"})
     texts = [" ".join(t) + " " for t in (["a", "b", "c", "a", "b", "d"], ["b", "d", "e", "b"])]
