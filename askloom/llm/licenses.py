@@ -21,14 +21,14 @@ TEMPLATES = [
     ("mit", "released under the mit license"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
@@ -36,9 +36,32 @@ TEMPLATES = [
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
 ]
 
+#: The GNU licences differ in a name and a number only: label, what it covers, name, version.
+_GNU = [
+    ("gpl-2", "program", "gnu general", "2"), ("gpl-3", "program", "gnu general", "3"),
+    ("lgpl-2", "library", "gnu library general", "2"), ("lgpl-2", "library", "gnu lesser general", "2"),
+    ("lgpl-2.1", "library", "gnu lesser general", "2 1"), ("lgpl-3", "library", "gnu lesser general", "3"),
+    ("agpl-3", "program", "gnu affero general", "3"),
+]
+_GNU_FORMS = [
+    "this {what} is free software you can redistribute it and or modify it under the terms of the {name} public license as published by the free software foundation either version {v} of the license or at your option any later version",
+    "you can redistribute it and or modify it under the terms of the {name} public license as published by the free software foundation version {v} of the license",
+    "you can redistribute it and or modify it under the terms of the {name} public license version {v} as published by the free software foundation",
+    "this work is licensed under the {name} public license version {v}",
+]
+TEMPLATES += [(label, form.format(what=what, name=name, v=v)) for label, what, name, v in _GNU for form in _GNU_FORMS]
+
+#: Runs of words that tell relatives apart, by a word that all of a family's templates hold. A chain
+#: counts only if its matches hold every run of the family that stands in its template, each run whole.
+MARKS = {
+    "gnu": ["gnu general", "gnu library general", "gnu lesser general", "gnu affero general", "version 2", "version 2 1", "version 3"],
+    "attribution": ["attribution noncommercial", "attribution sharealike", "attribution noderivatives",
+                    "noncommercial sharealike", "noncommercial noderivatives"],
+}
+
 LEAST = 4       # words of a match that may join a chain
 GAP = 6         # words between two matches of a chain, in the text and in the template
-COVERED = 0.6   # share of a template that its label asks for, and
+COVERED = 0.6   # share of a template that its label asks for, besides its MARKS, and
 COVERED_WORDS = 5
 
 _GAP_BYTES = np.ones(256, bool)
@@ -61,6 +84,9 @@ class Automaton:
         self.labels = [label for label, _ in templates]
         texts = [t.split() for _, t in templates]
         self.lengths = [len(t) for t in texts]
+        self.marks = [[(len(m), [k for k in range(len(t)) if t[k:k + len(m)] == m]) for m in marks]
+                      for t in texts for marks in [[m.split() for word, runs in MARKS.items() if word in t for m in runs]]]
+        self.marks = [[(n, at) for n, at in marks if at] for marks in self.marks]
         runs = [p.split() for p in phrases]
         vocabulary = sorted({w for t in texts + runs for w in t})
         self.ids = {w: i for i, w in enumerate(vocabulary)}
@@ -151,6 +177,11 @@ def automaton() -> Automaton:
     return _AUTOMATON[0]
 
 
+def _told_apart(auto: Automaton, t: int, chain: list[tuple[int, int, int]]) -> bool:
+    """Whether the chain's matches hold all words that tell template ``t`` from its relatives."""
+    return all(any(b <= k and k + m <= b + n for k in at for _, b, n in chain) for m, at in auto.marks[t])
+
+
 def _chained(matches):
     """(template, words covered, spans) of the best chain that ends with each match.
 
@@ -182,8 +213,8 @@ def chains(matches: list[tuple[int, int, int, int]], passes) -> dict[int, tuple[
     """For each template: words covered by its best chain, and all its chains that pass.
 
     matches: (template, text start, template start, words), by text start. A chain is a list of
-    spans (first word in the text, first word in the template, words); ``passes(template, covered)``
-    says whether it covers enough. Those that cover most come first, and of one template no two overlap in
+    spans (first word in the text, first word in the template, words); ``passes(template, covered, chain)``
+    says whether it will do. Those that cover most come first, and of one template no two overlap in
     the text; what lies between the chosen ones is chained again until nothing there passes.
     """
     best: dict[int, int] = {}
@@ -193,11 +224,11 @@ def chains(matches: list[tuple[int, int, int, int]], passes) -> dict[int, tuple[
         found = []
         for t, covered, chain in _chained(left):
             best[t] = max(best.get(t, 0), covered)
-            if passes(t, covered):
-                found.append((t, covered, chain))
-        grown = set()
-        for t, covered, chain in sorted(found, key=lambda f: -f[1]):
             spans = _unlinked(chain)
+            if passes(t, covered, spans):
+                found.append((t, covered, spans))
+        grown = set()
+        for t, covered, spans in sorted(found, key=lambda f: -f[1]):
             row, have = (spans[0][0], spans[-1][0] + spans[-1][2], spans), taken.setdefault(t, [])
             at = bisect_left(have, row[:2])
             if (at == 0 or have[at - 1][1] <= row[0]) and (at == len(have) or row[1] <= have[at][0]):
@@ -225,7 +256,8 @@ def _scan_text(auto: Automaton, runs: list[tuple[int, list[int]]]) -> dict:
             if n >= LEAST and (i + 1 == len(stats) or stats[i + 1][1] <= n):
                 matches += [(t, first + i - n + 1, at - n + 1, n) for t, at in sorted(auto.states[s].ends)]
     labels, spans, score = set(base), [], 1.0 if base else 0.0
-    enough = lambda t, covered: covered >= COVERED_WORDS and covered >= COVERED * auto.lengths[t]
+    enough = lambda t, covered, chain: (
+        covered >= COVERED_WORDS and covered >= COVERED * auto.lengths[t] and _told_apart(auto, t, chain))
     found = chains(sorted(matches, key=lambda m: (m[1], m[0], m[2])), enough)
     for t, (covered, passed) in found.items():
         score = max(score, min(1.0, covered / auto.lengths[t]))

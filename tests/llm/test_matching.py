@@ -84,6 +84,29 @@ def test_license_notice_repeated_gives_every_span(frame):
     assert all(r["labels"] == "mit" and r["score"] == 1 for r in got.values())
 
 
+def test_related_licenses_are_told_apart(frame):
+    gnu = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License "
+           "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    only = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License "
+            "version {} as published by the Free Software Foundation.")
+    late = only.replace(" version {}", "").replace("Foundation.", "Foundation, version {}")
+    cc = "This work is licensed under a Creative Commons Attribution{} International License."
+    wants = []
+    for label, what, name, v in [("gpl-2", "program", "", "2"), ("gpl-3", "file", "", "3"), ("lgpl-2", "library", "Library ", "2"),
+                                 ("lgpl-2.1", "library", "Lesser ", "2.1"), ("lgpl-3", "program", "Lesser ", "3"),
+                                 ("agpl-3", "program", "Affero ", "3")]:
+        wants += [(label, form.format(what, name, v)) for form in (gnu, only, late + " of the License.", late + ".")]
+        wants.append((label, f"This work is licensed under the GNU {name}General Public License version {v}"))
+        wants.append((label, gnu.format(what, name, v).replace("redistribute it", "redistribute (EDITED) it").replace(", or", ", edited or")))
+    wants += [("", gnu.format("program", "", "1")), ("gpl-2,lgpl-2.1", gnu.format("program", "", "2") + gnu.format("library", "Lesser ", "2.1"))]
+    wants += [(label, cc.format(x)) for label, x in [
+        ("cc-by", " 4.0"), ("cc-by-nc", "-NonCommercial 4.0"), ("cc-by-sa", "-ShareAlike 4.0"), ("cc-by-nd", "-NoDerivatives 4.0"),
+        ("cc-by-nc-sa", "-NonCommercial-ShareAlike 4.0"), ("cc-by-nc-nd", "-NonCommercial-NoDerivatives 4.0"),
+        ("cc-by", " 3.0"), ("cc-by-sa", "-ShareAlike 3.0")]]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(frame([(i, t, "a") for i, (_, t) in enumerate(wants)])).collect()}
+    assert [(got[i], t) for i, (_, t) in enumerate(wants)] == wants
+
+
 def test_matching_statistics_are_longest_matches():
     auto = licenses.Automaton([("x", "a b c a b d"), ("y", "b d e b")], {"a b": "p"})
     texts = [" ".join(t) + " " for t in (["a", "b", "c", "a", "b", "d"], ["b", "d", "e", "b"])]
