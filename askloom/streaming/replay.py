@@ -4,10 +4,11 @@ One micro-batch is sorted by ``(t, id)`` per key before it is replayed; rows tha
 micro-batch than their successors are decided in arrival order. What one key can bring into memory
 is a micro-batch at most, so bound that at the source (``maxFilesPerTrigger`` and the like).
 
-A key's state is dropped in event time: once the watermark has passed the instant from which the
-state cannot be told from a fresh one, no row can come that would notice. So results do not depend
-on how fast a backlog is read, and silent keys hold nothing. Rows later than ``lateness`` behind
-the watermark are left out by Spark.
+Every row is decided, however late it comes, and every key's state is kept. With a ``lateness`` a
+key's state is dropped in event time instead: once the watermark has passed the instant from which
+the state cannot be told from a fresh one, no row can come that would notice, so silent keys hold
+nothing. The price is that Spark then leaves out rows later than ``lateness`` behind the newest
+event of earlier micro-batches: give it only where the source is in time order up to that much.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class _Replay(StatefulProcessor):
-    def __init__(self, rule: Rule, columns: list[str]):
-        self.rule, self.columns = rule, columns
+    def __init__(self, rule: Rule, columns: list[str], expires: bool):
+        self.rule, self.columns, self.expires = rule, columns, expires
 
     def init(self, handle):
         self.handle = handle
@@ -50,7 +51,7 @@ class _Replay(StatefulProcessor):
             last = t
             ok.append(o)
             lead.append(l)
-        if timer is None:
+        if timer is None and self.expires:
             timer = self._fresh_ms(at)
             self.handle.registerTimer(timer)
         self.state.update((at, last, timer))
@@ -71,29 +72,30 @@ class _Replay(StatefulProcessor):
         pass
 
 
-def replay_stream(events: DataFrame, rule: Rule, lateness: str = "1 day") -> DataFrame:
-    """Streaming ``key, t, id`` (``op, arg``) -> plus ``ok, lead``."""
+def replay_stream(events: DataFrame, rule: Rule, lateness: str | None = None) -> DataFrame:
+    """Streaming ``key, t, id`` (``op, arg``) -> plus ``ok, lead``; all rows, unless ``lateness`` is given."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    timed = events.withColumn("_seen", F.timestamp_micros(F.col("t") + _SHIFT_MS * 1000)).withWatermark("_seen", lateness)
+    timed = events if lateness is None else events.withColumn(
+        "_seen", F.timestamp_micros(F.col("t") + _SHIFT_MS * 1000)).withWatermark("_seen", lateness)
     schema = T.StructType(events.schema.fields + [
         T.StructField("ok", T.BooleanType()), T.StructField("lead", T.LongType())])
     return timed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Replay(rule, schema.names), outputStructType=schema,
-        outputMode="Append", timeMode="EventTime")
+        statefulProcessor=_Replay(rule, schema.names, lateness is not None), outputStructType=schema,
+        outputMode="Append", timeMode="None" if lateness is None else "EventTime")
 
 
 def token_bucket_stream(events: DataFrame, capacity, refill_per_s, idle_s: int | None = None,
-                        lateness: str = "1 day") -> DataFrame:
+                        lateness: str | None = None) -> DataFrame:
     from askloom.operators.throttle import bucket_columns
 
     rule = Rule.bucket(capacity, refill_per_s, idle_s)
     return replay_stream(events, rule, lateness).select(*events.columns, *bucket_columns(rule))
 
 
-def cache_stream(events: DataFrame, ttl_s: int, lateness: str = "1 day") -> DataFrame:
+def cache_stream(events: DataFrame, ttl_s: int, lateness: str | None = None) -> DataFrame:
     out = replay_stream(events, Rule(int(ttl_s * 1_000_000)), lateness)
     return out.select(*events.columns, F.when(F.col("ok"), "MISS").otherwise("HIT").alias("outcome"))
 
 
-def dedup_events_stream(events: DataFrame, busy_us: int, lateness: str = "1 day") -> DataFrame:
+def dedup_events_stream(events: DataFrame, busy_us: int, lateness: str | None = None) -> DataFrame:
     return replay_stream(events, Rule(busy_us), lateness).filter("ok").drop("ok", "lead")

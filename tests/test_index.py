@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from askloom.operators import index
@@ -172,3 +173,36 @@ def test_state_of_silent_keys_is_dropped_in_event_time(spark, tmp_path):
         query.awaitTermination()
     assert {r.id: r.remaining for r in spark.read.parquet(out).collect()} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1}
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # c, a and their timers
+
+
+@pytest.mark.parametrize("lateness", [None, "1 day"])
+def test_files_in_reverse_time_order_lose_no_row(spark, tmp_path, lateness):
+    """All rows are decided in arrival order; only a lateness that is asked for leaves some out and drops state."""
+    from askloom.operators.replay import FRESH, Rule
+
+    schema, src, rule = "key string, t long, id long", str(tmp_path / "in"), Rule.bucket(2, 1 / 7200)
+    hour = 3_600_000_000
+    parts = [[("a", 900 * hour, 0), ("b", 901 * hour, 1)], [("a", 500 * hour, 2), ("c", 500 * hour, 3), ("c", 501 * hour, 4)],
+             [("a", 1 * hour, 5), ("b", 2 * hour, 6), ("d", 3 * hour, 7)]]
+    state, want = {}, {}
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        for key, t, i in part:
+            want[i], _, state[key] = rule.step(state.get(key, FRESH), t * rule.scale, 0, 0)
+    streams = {"bucket": live_replay.token_bucket_stream, "cache": live_replay.cache_stream, "dedup": live_replay.dedup_events_stream}
+    how = {"bucket": (2, 1 / 7200), "cache": (60,), "dedup": (60,)}
+    got, size = {}, {}
+    for name, stream in streams.items():
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        asked = {} if lateness is None else {"lateness": lateness}
+        query = stream(events, *how[name], **asked).writeStream.format("parquet").option(
+            "path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / (name + "-log"))).trigger(
+            availableNow=True).start()
+        query.awaitTermination()
+        got[name] = {r.id: r for r in spark.read.parquet(str(tmp_path / name)).collect()}
+        size[name] = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    if lateness is None:
+        assert {i: r.allowed for i, r in got["bucket"].items()} == want
+        assert set(got["cache"]) == set(range(8)) and {3, 4, 7} <= set(got["dedup"]) and set(size.values()) == {4}
+    else:
+        assert all({0, 1} <= set(g) and not {5, 6, 7} & set(g) for g in got.values())
