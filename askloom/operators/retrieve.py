@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
+from askloom.session import checkpointed
+
 TOP_K = 10                      # fixed value: candidates per question
 BROADCAST_BYTES = 64 << 20      # questions are broadcast up to this size
 BLOCK_ROWS = 20_000             # rows per side of a block otherwise
+FIT_QUESTIONS = 64              # searched exactly to size the hashed form
+MAX_TABLES = 64                 # copies of a vector that the hashed form may make
 _ROUND = 9
 
 
@@ -179,20 +183,45 @@ def lsh_size(n: int, cosine: float = 0.9, recall: float = 0.95) -> tuple[int, in
     return math.ceil(math.log(1 - recall) / math.log1p(-alike)), bits
 
 
+def _sure_distance(tables: int, bits: int, recall: float) -> float:
+    """Up to this cosine distance a chunk is met in some table with probability ``recall``."""
+    alike = (1 - (1 - recall) ** (1 / tables)) ** (1 / bits)
+    return 1 - math.cos((1 - alike) * math.pi)
+
+
+def _fitted(queries: DataFrame, chunks: DataFrame, n: int, k: int, recall: float) -> tuple[int, int] | None:
+    """Tables and bits for the cosine that the k-th neighbour of most questions has, measured
+    exactly on some of them; None where so many tables would cost more than an exact scan."""
+    some = queries.orderBy(F.xxhash64("embedding")).limit(FIT_QUESTIONS)
+    kth = [1 - r[0] for r in vector_topk(some, chunks, k).filter(F.col("rank") == k).select("distance").collect()]
+    if not kth:
+        return None
+    cosine = min(0.9, float(np.quantile(kth, 0.1)))
+    tables, bits = lsh_size(n, cosine, recall) if cosine > 0 else (MAX_TABLES + 1, 1)
+    return None if tables > min(MAX_TABLES, 1 << bits) else (tables, bits)
+
+
 def vector_topk_lsh(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
                     tables: int | None = None, bits: int | None = None, seed: int = 7,
-                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    block_rows: int = BLOCK_ROWS, recall: float = 0.95) -> DataFrame:
     """Approximate ``vector_topk``: only vectors that share a bucket of some table are compared.
 
-    The vectors' length is taken from the questions, tables and bits from the number of chunks
-    where they are not given. Buckets of any size are cut into blocks. More ``bits`` compare less,
-    more ``tables`` find more. Null, ragged or holed vectors are left out.
+    The vectors' length is taken from the questions. Where tables and bits are not both given, they
+    come from the number of chunks and from the cosine of the k-th neighbour of some questions, and
+    a question is answered by exact search unless it found k chunks all so near that each nearer one
+    was met with probability ``recall``. Where hashing to that recall would take too many tables all
+    questions are. With both given the hashed result is returned as it is. Buckets of any size are
+    cut into blocks. More ``bits`` compare less, more ``tables`` find more. Null, ragged or holed
+    vectors are left out.
     """
     queries, chunks = queries.select("req_id", "embedding"), chunks.select("id", "embedding")
     dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
     queries, chunks = _whole(queries, dim), _whole(chunks, dim)
-    if tables is None or bits is None:
-        own = lsh_size(chunks.count())
+    complete = tables is None or bits is None
+    if complete:
+        own = _fitted(queries, chunks, chunks.count(), k, recall)
+        if own is None:
+            return vector_topk(queries, chunks, k, block_rows=block_rows)
         tables, bits = tables or own[0], bits or own[1]
     schema = _partial_schema(queries, chunks)
 
@@ -201,4 +230,13 @@ def vector_topk_lsh(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
             F.col("embedding"), dim, tables, bits, seed)).alias("bucket"))
 
     found = _blocks(hashed(queries), hashed(chunks), schema, k, block_rows)
-    return _rank(found.groupBy("req_id", "id").agg(F.min("distance").alias("distance")), k)
+    found = _rank(found.groupBy("req_id", "id").agg(F.min("distance").alias("distance")), k)
+    if not complete:
+        return found
+    found = checkpointed(found, queries.sparkSession)   # read twice
+    sure = found.filter((F.col("rank") == k) & (F.col("distance") <= _sure_distance(tables, bits, recall))).select(
+        F.col("req_id").alias("sure"))
+    is_sure = F.col("req_id").eqNullSafe(F.col("sure"))
+    rest = checkpointed(queries.join(sure, is_sure, "left_anti"), queries.sparkSession)
+    return found.join(sure, is_sure, "left_semi").unionByName(
+        vector_topk(rest, chunks, k, block_rows=block_rows))

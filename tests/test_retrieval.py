@@ -114,3 +114,26 @@ def test_lsh_takes_its_size_from_the_data(spark):
     assert len(exact) == 200 and len(exact & near) >= 180
     sizes = [retrieve.lsh_size(n) for n in (10 ** 4, 10 ** 6, 10 ** 8)]
     assert all(t * 2.0 ** -b < 0.5 ** k for k, (t, b) in enumerate(sizes))  # share of the corpus compared falls
+
+
+def test_lsh_default_finds_neighbours_of_low_cosine(spark):
+    """Questions against texts as hashed bags of words, and planted neighbours some of which are far."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id as id", "text").limit(4500)
+    c = docs.select("id", embed_text(F.substring("text", 1, 400)).alias("embedding")).localCheckpoint()
+    q = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").limit(80).select(
+        F.col("item_id").alias("req_id"), embed_text("text").alias("embedding")).localCheckpoint()
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((120, 64))
+    near = [(i, (base[i % 120] + (0.1 if i % 120 < 110 else 1.2) * rng.standard_normal(64)).tolist()) for i in range(4800)]
+    planted = spark.createDataFrame(near, "id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(base)], "req_id long, embedding array<double>")
+    for queries, chunks, hashed in [(q, c, False), (asked, planted, True)]:
+        best = {(r.req_id, r.id): (r.distance, r.rank) for r in retrieve.vector_topk(queries, chunks).collect()}
+        got = [r for r in retrieve.vector_topk_lsh(queries, chunks).collect()]
+        found = {(r.req_id, r.id): (r.distance, r.rank) for r in got}
+        assert len(found) == len(got) == len(best) and max(r.rank for r in got) == 10
+        assert len(set(best) & set(found)) >= 0.95 * len(best)
+        fit = retrieve._fitted(queries, chunks, chunks.count(), 10, 0.95)
+        assert (fit is not None) == hashed
+    far = {p for p in best if p[0] >= 110}      # found by exact completion
+    assert far and {p: found[p] for p in far} == {p: best[p] for p in far}
