@@ -290,7 +290,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, r
     # one text of each class that is in a group
     wanted = groups.join(sizes, "grp").join(classes.select("node", "n", "least"), "node")
     texts = _keyed(docs).alias("d").join(wanted.alias("w"), F.expr("d.node = w.node and d.doc_id <=> w.least")).select(
-        "grp", "w.node", "size", "n", "text")
+        "grp", "w.node", "size", "n", "text").dropDuplicates(["node"])  # rows may repeat both id and text
     sets = _sets(texts, width, "grp node size n")
     tiles = with_tiles(sets, ["grp"], "size", "node", 256).select("grp", "lo", "hi", "side", "node", "n", "grams")
     found = stored(over_tiles(tiles, ["grp", "lo", "hi"], _compare_sets(threshold), "node long, links long, root long"), "links")

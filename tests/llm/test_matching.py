@@ -249,3 +249,19 @@ def test_long_texts_are_read_in_parts(monkeypatch):
         anchor[a:b + 1] = p
     for p, a, b in zip(*whole[:3]):
         assert (anchor[a:b + 1] == p).all()
+
+
+def test_rows_that_repeat_id_and_text_enter_a_tile_once(frame, monkeypatch):
+    """A text many rows repeat, with and without an id, has near copies; its set must not be sent once a row."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:100 + k] + ["edited"] + words[101 + k:]) for k in range(4)]
+    rows = [(1, texts[0], "a")] * 300 + [(None, texts[1], "b")] * 200 + [(3, texts[2], "a"), (4, texts[3], "a")]
+    most, tiles_of = [], jaccard_join.over_tiles
+
+    def seen(tiles, keys, *more):
+        most.append(tiles.groupBy(*keys, "node").count().agg({"count": "max"}).first()[0])
+        return tiles_of(tiles, keys, *more)
+    monkeypatch.setattr(jaccard_join, "over_tiles", seen)
+    got = jaccard_join.similar_documents(frame(rows)).collect()
+    assert most[-1] == 1
+    assert len(got) == 502 and {(r["n_links"], r["class_id"]) for r in got} == {(501, 1)}
