@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askloom.llm import bpe, common, jaccard_join, licenses, mixing, quality, rules, spans, token_files, toxicity_grammar, vector_neardup
+from askloom.llm import (
+    bpe, common, jaccard_join, licenses, lz_fingerprint, mixing, phrases, pivot_kmeans, quality, rules, spans, token_files, toxicity_grammar, vector_neardup)
 
 QUERIES: dict = {}
 TWINS: dict = {}
@@ -90,3 +91,24 @@ def op10_similar_documents(spark, sf):
 @query
 def op9_repeated_spans(spark, sf):
     return spans.repeat_digests(table(spark, sf, "documents"))
+
+
+@query
+def op13_pivot_clusters(spark, sf):
+    return pivot_kmeans.centroid_clusters(table(spark, sf, "embeddings"))
+
+
+TWINS["op13_pivot_clusters"] = pivot_kmeans.oracle()
+
+
+@query
+def op12_lz_fingerprints(spark, sf):
+    return lz_fingerprint.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op11_phrase_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+TWINS["op11_phrase_collocations"] = phrases.ORACLE
