@@ -12,6 +12,7 @@ compared exactly on their whole sets.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from askloom.llm.tiles import over_tiles, with_tiles
 SKETCH = 64
 SMALL = 256
 DEPTH = 4
-FIRST = 4    # runs before groups are formed
+FIRST = (1, 4)   # runs after which groups are formed anew
+BLOCK = 1024     # rows of a tile's side in the exact comparison,
+BLOCK_MB = 16    # or so many MB of their n-grams
 SLACK = 4.0  # standard deviations that a sketch's estimate may fall short of the threshold
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -70,7 +73,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node and sketch (SKETCH 32-bit minima as bytes; null without words) of every text."""
+    """doc_id, node, sketch (SKETCH 32-bit minima as bytes; null without words) and grams (their number) of every text."""
     def run(batches):
         mult, add = _multipliers()
         for batch in batches:
@@ -88,9 +91,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for i, r in zip(full.tolist(), sig):
                 out[i] = r.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(out, pa.binary())], ["doc_id", "node", "sketch"])
+                [batch.column("doc_id"), batch.column("node"), pa.array(out, pa.binary()), pa.array(np.diff(gb))],
+                ["doc_id", "node", "sketch", "grams"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, node long, sketch binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, node long, sketch binary, grams long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -122,17 +126,20 @@ def _split(rows: DataFrame, threshold: float, starts: list[int] | None = None) -
 
 
 def _compare_sketches(least: int):
+    """u, v: links between groups so far, one less than there are groups in a tile at most."""
     def fn(rows: pa.Table, bounds: np.ndarray):
-        node, sig = rows.column("node").to_numpy(), _matrix(rows.column("sketch"))
+        grp, sig = rows.column("grp").to_numpy(), _matrix(rows.column("sketch"))
         side, lo, hi = (rows.column(c).to_numpy() for c in ("side", "lo", "hi"))
-        u, v = [], []
         size = np.diff(bounds)
         two = bounds[:-1][(size == 2)]
+        two = two[grp[two] != grp[two + 1]]
         ok = (sig[two] == sig[two + 1]).sum(axis=1) >= least
-        u.append(node[two[ok] + 1])
-        v.append(node[two[ok]])
+        u, v = [grp[two[ok] + 1]], [grp[two[ok]]]
         for k in np.flatnonzero(size > 2):
             a, b = int(bounds[k]), int(bounds[k + 1])
+            if (grp[a:b] == grp[a]).all():
+                continue
+            names, part = np.unique(grp[a:b], return_inverse=True)
             cut = b - a if lo[a] == hi[a] else int((side[a:b] == lo[a]).sum())
             left, shift = sig[a:a + cut], 0 if lo[a] == hi[a] else cut
             right = sig[a + shift:b]
@@ -141,15 +148,14 @@ def _compare_sketches(least: int):
             for s in range(0, cut, step):
                 same = (left[s:s + step, None, :] == right[None, :, :]).sum(axis=2, dtype=np.uint8)
                 i, j = np.nonzero(same >= least)
-                ii.append(i + s)
-                jj.append(j + shift)
+                i, j = part[i + s], part[j + shift]
+                ii.append(i[i != j])
+                jj.append(j[i != j])
             if ii:
-                i, j = np.concatenate(ii), np.concatenate(jj)
-                part = node[a:b]
-                root = part[forest(b - a, i, j)]
-                at = np.flatnonzero(root != part)
-                u.append(part[at])
-                v.append(root[at])
+                root = forest(len(names), np.concatenate(ii), np.concatenate(jj))
+                at = np.flatnonzero(root != np.arange(len(names)))
+                u.append(names[at])
+                v.append(names[root[at]])
         u, v = np.concatenate(u), np.concatenate(v)
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -159,38 +165,111 @@ def _compare_sketches(least: int):
 def possible_links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """node, root: groups that hold every two classes (node, sketch) which the sketches leave possible.
 
-    After FIRST runs only buckets of more than one group so far are looked into, since comparing
-    within a group adds nothing: a large group of near copies is compared in a few runs, not all.
+    Groups are formed after the first run and after some more. From then on only buckets of more than
+    one group are looked into and only links between groups are made, since comparing within a group
+    adds nothing: a large group of near copies is compared in a run or two, not in all.
     """
     starts = [int(mix(np.array([1000 + r], np.uint64))[0]) for r in range(runs_for(threshold, recall))]
-    links = _pass(classes, threshold, starts[:FIRST], None)
-    groups = stored(connected_components(links), "groups")
-    return connected_components(_pass(classes, threshold, starts[FIRST:], groups).unionByName(
-        groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    groups = None
+    for lo, hi in zip((0, *FIRST), (*FIRST, len(starts))):
+        if starts[lo:hi]:
+            groups = stored(_pass(classes, threshold, starts[lo:hi], groups), "groups")
+    return groups
+
+
+def _links(tiles: DataFrame, threshold: float) -> DataFrame:
+    tiles = tiles.select("path", "lo", "hi", "side", "node", "grp", "sketch")
+    return stored(over_tiles(tiles, ["path", "lo", "hi"], _compare_sketches(least_matches(threshold)), "u long, v long").distinct(), "links")
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    if groups is None:
+        return rows.withColumn("grp", F.col("node"))
+    return rows.join(groups.withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+
+
+def first_tiles(rows: DataFrame) -> DataFrame:
+    """Blocks of SMALL rows of large buckets, each with itself and with the first: about three rows for one."""
+    n = F.ceil(F.col("size") / SMALL).cast("long")
+    d = rows.withColumn("side", F.pmod(F.xxhash64("node", F.lit(17)), n))
+    zero = F.lit(0).cast("long")
+    d = d.withColumn("other", F.explode(F.when(F.col("side") == 0, F.sequence(zero, n - 1)).otherwise(F.array(zero, F.col("side")))))
+    return d.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+
+
+def rest_tiles(rows: DataFrame) -> DataFrame:
+    """Tiles of large buckets (path, node, grp) that hold every two rows of different groups.
+
+    Groups of over half a block get blocks of their own, which need not meet each other; the other
+    rows of a bucket are cut into blocks that meet all. So the rows grow with those outside the
+    bucket's large groups, not with the square of a group.
+    """
+    groups = rows.groupBy("path", "grp").agg(F.count(F.lit(1)).alias("n"))
+    owner = F.when(F.col("n") > SMALL // 2, F.col("grp"))
+    parts = groups.groupBy("path", owner.alias("owner")).agg(F.sum("n").alias("n"))
+    block = F.xxhash64(F.coalesce("owner", F.lit(0).cast("long")), F.col("owner").isNull(), F.col("at"))
+    blocks = parts.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / SMALL).cast("long") - 1)))
+    blocks = blocks.select("path", F.col("owner").alias("theirs"), block.alias("other"))
+    large = groups.where(F.col("n") > SMALL // 2).select("path", "grp", F.col("n").alias("many"))
+    pool = parts.where("owner is null").select("path", F.col("n").alias("few"))
+    d = rows.join(large, ["path", "grp"], "left").join(pool, "path", "left")
+    d = d.withColumn("owner", F.when(F.col("many").isNotNull(), F.col("grp")))
+    cut = F.ceil(F.coalesce("many", "few") / SMALL).cast("long")
+    d = d.withColumn("at", F.pmod(F.xxhash64("node", F.lit(17)), cut)).withColumn("side", block)
+    d = d.join(blocks, "path").where("owner is null or theirs is null or owner <> theirs")
+    return d.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
 
 
 def _pass(classes: DataFrame, threshold: float, starts: list[int], groups: DataFrame | None) -> DataFrame:
-    """u, v: links found in these runs, one DEPTH after the other."""
+    """node, root: the groups with the links found in these runs, one DEPTH after the other."""
     level = stored(_split(classes, threshold, starts), "paths")
-    found, depth = None, 1
+    found, depth = [], 1
     while True:
         if groups is None:
             sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         else:
-            group = F.coalesce("root", "node")
-            sizes = level.join(groups, "node", "left").groupBy("path").agg(
-                F.count(F.lit(1)).alias("size"), F.min(group).alias("a"), F.max(group).alias("b")).where("a <> b").drop("a", "b")
+            sizes = _with_groups(level, groups).groupBy("path").agg(
+                F.count(F.lit(1)).alias("size"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").drop("a", "b")
         large = F.col("size") > SMALL
         rows = stored(level.join(sizes, "path").join(classes.select("node", "sketch"), "node"), "buckets")
-        done = rows if depth == DEPTH else rows.where(~large)
-        tiles = with_tiles(done, ["path"], "size", "node", SMALL).select("path", "lo", "hi", "side", "node", "sketch")
-        links = stored(over_tiles(tiles, ["path", "lo", "hi"], _compare_sketches(least_matches(threshold)), "u long, v long").distinct(), "links")
-        found = links if found is None else found.unionByName(links)
+        few = _with_groups(rows.where(~large), groups)
+        found.append(_links(with_tiles(few, ["path"], "size", "node", SMALL), threshold))
         more = rows.where(large)
-        if depth == DEPTH or not more.take(1):
-            return found
+        if not more.take(1):
+            break
+        if depth == DEPTH:
+            more = stored(_mixed(more, groups), "buckets")
+            wide = _pools(more).where(F.col("few") > SMALL).withColumn("size", F.col("few"))
+            if wide.take(1):
+                found.append(_links(first_tiles(wide), threshold))
+                groups, found = stored(_grouped(found, groups), "groups"), []
+                more = stored(_mixed(more.drop("grp"), groups), "buckets")
+            found.append(_links(rest_tiles(more), threshold))
+            break
         level = stored(_split(more.select("path", "node", "sketch"), threshold), "paths")
         depth += 1
+    return _grouped(found, groups)
+
+
+def _mixed(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows of the buckets that hold more than one group, with their group."""
+    rows = _with_groups(rows, groups)
+    if groups is None:
+        return rows
+    mixed = rows.groupBy("path").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("path")
+    return rows.join(mixed, "path", "left_semi")
+
+
+def _pools(rows: DataFrame) -> DataFrame:
+    """Rows outside the large groups of their bucket, and few: how many those are."""
+    sizes = rows.groupBy("path", "grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= SMALL // 2)
+    pool = sizes.groupBy("path").agg(F.sum("n").alias("few"))
+    return rows.join(sizes.select("path", "grp"), ["path", "grp"], "left_semi").join(pool, "path")
+
+
+def _grouped(found: list[DataFrame], groups: DataFrame | None) -> DataFrame:
+    links = [*found, *([groups.select(F.col("node").alias("u"), F.col("root").alias("v"))] if groups is not None else [])]
+    return connected_components(reduce(DataFrame.unionByName, links))
 
 
 def _sets(rows: DataFrame, width: int, kept: str) -> DataFrame:
@@ -233,7 +312,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def _compare_sets(threshold: float):
     def fn(rows: pa.Table, bounds: np.ndarray):
-        node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+        node, n, group = (rows.column(c).to_numpy() for c in ("node", "n", "grp"))
         side, lo, hi = (rows.column(c).to_numpy() for c in ("side", "lo", "hi"))
         data, offs = text_bytes(rows.column("grams"))
         grams = data.view(np.uint64)
@@ -261,13 +340,46 @@ def _compare_sets(threshold: float):
             part, m = node[a:b], n[a:b]
             links = np.bincount(i, m[j], b - a) + np.bincount(j, m[i], b - a)
             root = part[forest(b - a, i, j)]
-            at = np.flatnonzero(links)
-            out.append((part[at], links[at].astype(np.int64), root[at]))
+            for block, lo_, hi_ in ((lo[a], 0, cut), (hi[a], cut, b - a)):
+                at = np.flatnonzero(links[lo_:hi_]) + lo_
+                if len(at):
+                    out.append((group[a], block, np.stack([part[at], links[at].astype(np.int64), root[at]]).tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["node", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))],
+                                             ["grp", "block", "found"])
     return fn
 
 
+def _added(found: DataFrame) -> DataFrame:
+    """node, links, root: what the tiles of one block found, as one row for each node, and how their
+    components hang together. Rows follow the nodes, not the nodes times the blocks they met."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def one(held: list[bytes]):
+        node, links, root = np.concatenate([np.frombuffer(f, np.int64).reshape(3, -1) for f in held], axis=1)
+        names, at = np.unique(np.concatenate([node, root]), return_inverse=True)
+        least = names[forest(len(names), at[:len(node)], at[len(node):])]
+        total = np.zeros(len(names), np.int64)
+        np.add.at(total, at[:len(node)], links)
+        keep = (total > 0) | (least != names)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (names, total, least)], ["node", "links", "root"])
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            for g, k, f in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "found"))):
+                if (g, k) != last and held:
+                    yield one(held)
+                    held = []
+                last = g, k
+                held.append(f)
+        if held:
+            yield one(held)
+
+    return found.repartition(parts, "grp", "block").sortWithinPartitions("grp", "block").mapInArrow(
+        run, "node long, links long, root long")
+
+
 def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999,
                       by_text: bool = False) -> DataFrame:
     """doc_id, n_links, class_id, kept for every row.
@@ -284,16 +396,20 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, r
     """
     made = stored(sketches(docs, width), "sketches")
     classes = stored(made.where("node is not null").groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "classes")
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"),
+        F.first("grams").alias("grams")), "classes")
     groups = stored(possible_links(classes, threshold, recall).withColumnRenamed("root", "grp"), "groups")
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    # blocks of a group follow its rows and the bytes of their n-grams
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / (BLOCK_MB << 17)))
+    members = groups.join(classes.select("node", "n", "least", "grams"), "node")
+    sizes = members.groupBy("grp").agg(blocks.cast("long").alias("size"))
     # one text of each class that is in a group
-    wanted = groups.join(sizes, "grp").join(classes.select("node", "n", "least"), "node")
+    wanted = members.drop("grams").join(sizes, "grp")
     texts = _keyed(docs).alias("d").join(wanted.alias("w"), F.expr("d.node = w.node and d.doc_id <=> w.least")).select(
         "grp", "w.node", "size", "n", "text").dropDuplicates(["node"])  # rows may repeat both id and text
     sets = _sets(texts, width, "grp node size n")
-    tiles = with_tiles(sets, ["grp"], "size", "node", 256).select("grp", "lo", "hi", "side", "node", "n", "grams")
-    found = stored(over_tiles(tiles, ["grp", "lo", "hi"], _compare_sets(threshold), "node long, links long, root long"), "links")
+    tiles = with_tiles(sets, ["grp"], "size", "node", 1).select("grp", "lo", "hi", "side", "node", "n", "grams")
+    found = stored(_added(over_tiles(tiles, ["grp", "lo", "hi"], _compare_sets(threshold), "grp long, block long, found binary")), "links")
     roots = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     done = (classes.select("node", "n", "least").join(links, "node", "left").join(roots, "node", "left")

@@ -28,17 +28,20 @@ CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = CUT.copy()
 GAP[[0x20, 0x09]] = True
 
-SAMPLE = 4           # one row of so many proposes
+SAMPLE = 8           # one row of so many proposes
 LOWERED = 0.5        # of the threshold expected in the sample
 BITS_EACH = 16       # of the map, two set for each phrase
 MOST_BITS = 1 << 27  # 16 MB; beyond, more false hits
 _CHUNK = 1 << 15
-_HELD = 2 << 20      # words that a task counts together
+_HELD = 1 << 20      # words that a task counts together
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 _SCHEMA = ", ".join(f"{w} long" for w in WORDS) + ", lang string, word string, a long"
 
+#: Counts of equal length and language: language (words only), words by place, texts (words only), counts.
+Counts = tuple[str | None, list[np.ndarray], list[bytes] | None, np.ndarray]
+
 
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z."""
@@ -130,7 +133,7 @@ class _Counter:
         self.held.append((w, first, carried))
         self.size += len(w) - carried
 
-    def phrases(self) -> Iterator[pa.RecordBatch]:
+    def phrases(self) -> Iterator[Counts]:
         if not self.held:
             return
         w = np.concatenate([h[0] for h in self.held])
@@ -156,7 +159,8 @@ class _Counter:
                 at = at[fresh[at] | fresh[at + 1]]
             start = at
             h = phrase_hash([w[at + j] for j in range(k)])
-            yield self._rows(h[~old[at + k - 1]], at[~old[at + k - 1]], w, k)
+            here = ~old[at + k - 1]
+            yield summed(None, [w[at[here] + j] for j in range(k)], None, np.ones(int(here.sum()), np.int64))
             if k < self.longest:
                 known = self.known.has(h) if self.known is not None else np.ones(len(h), bool)
                 if self.new is not None:  # a phrase counted before may be a part of one that is new
@@ -174,18 +178,59 @@ class _Counter:
         known = self.known.has(h)
         return at, known, known & self.new.has(h)
 
-    def _rows(self, h, at, w, k):
-        order = np.argsort(h, kind="stable")
-        cols = [w[at[order] + j] for j in range(k)]
-        change = np.ones(len(order), bool)
+
+def summed(lang: str | None, cols: list[np.ndarray], names: list[bytes] | None, n: np.ndarray) -> Counts:
+    """Each phrase once, in the order of its hash, with the sum of its counts."""
+    h = phrase_hash(cols)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    sorted_ = [c[order] for c in cols]
+    change = np.ones(len(h), bool)
+    change[1:] = False
+    for c in sorted_:
+        change[1:] |= c[1:] != c[:-1]
+    if (change[1:] & (h[1:] == h[:-1])).any():  # different phrases of one hash may stand mixed
+        order = np.lexsort([*cols, phrase_hash(cols)])
+        sorted_ = [c[order] for c in cols]
         change[1:] = False
-        for c in cols:
+        for c in sorted_:
             change[1:] |= c[1:] != c[:-1]
-        lo = np.flatnonzero(change)
-        n = np.diff(np.append(lo, len(order)))
-        none = pa.nulls(len(lo), pa.string())
-        cols = [pa.array(c[lo].view(np.int64)) for c in cols] + [pa.array(np.zeros(len(lo), np.int64))] * (LONGEST - k)
-        return pa.RecordBatch.from_arrays([*cols, none, none, pa.array(n)], [*WORDS, "lang", "word", "a"])
+    lo = np.flatnonzero(change)
+    total = np.add.reduceat(n[order], lo) if len(lo) else n[:0]
+    return lang, [c[lo] for c in sorted_], names and [names[i] for i in order[lo].tolist()], total
+
+
+def _pack(counts: list[Counts], ids: int) -> Iterator[tuple[int, bytes]]:
+    """Counts cut into ranges of the hash: (range, bytes)."""
+    shift = np.uint64(64 - ids.bit_length() + 1)
+    out: dict[int, list[bytes]] = {}
+    for lang, cols, names, n in counts:
+        cuts = np.searchsorted((phrase_hash(cols) >> shift).astype(np.int64), np.arange(ids + 1))
+        tag = b"" if lang is None else lang.encode()
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            lo, hi = int(cuts[i]), int(cuts[i + 1])
+            size = n[lo:hi]
+            size = size.astype(np.uint8 if size.max() < 256 else np.int64)
+            text = b"\n".join(names[lo:hi]) if names else b""
+            head = np.array([len(cols), hi - lo, size.itemsize, -1 if lang is None else len(tag), len(text)], np.int64)
+            out.setdefault(i, []).append(b"".join([head.tobytes(), *(c[lo:hi].tobytes() for c in cols), size.tobytes(), tag, text]))
+    for i, parts in out.items():
+        yield i, b"".join(parts)
+
+
+def _unpack(data: bytes) -> Iterator[Counts]:
+    at = 0
+    while at < len(data):
+        k, n, wide, tag, text = np.frombuffer(data, np.int64, 5, at).tolist()
+        at += 40
+        cols = [np.frombuffer(data, np.uint64, n, at + 8 * n * j) for j in range(k)]
+        at += 8 * n * k
+        size = np.frombuffer(data, np.uint8 if wide == 1 else np.int64, n, at).astype(np.int64)
+        at += wide * n
+        lang = None if tag < 0 else data[at:at + tag].decode()
+        at += max(tag, 0)
+        yield lang, cols, None if tag < 0 else data[at:at + text].split(b"\n"), size
+        at += text
 
 
 def _words(data, offsets, langs):
@@ -217,61 +262,101 @@ def _words(data, offsets, langs):
         last = text + len(offs) - 2
 
 
-def _names(w, starts, ends, part, owner, langs) -> pa.RecordBatch:
-    """Words with their text and count."""
+def _names(w, starts, ends, part, owner, langs) -> Iterator[Counts]:
+    """Words with their text and count, by language."""
     _, at, n = np.unique(w, return_index=True, return_counts=True)
-    size = ends[at] - starts[at]
-    offs = np.concatenate([[0], np.cumsum(size)])
-    data = part[np.repeat(starts[at] - offs[:-1], size) + np.arange(offs[-1])]
-    word = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
-    none = pa.array(np.zeros(len(at), np.int64))
-    lang = pa.array(langs).take(pa.array(owner[at]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(w[at].view(np.int64)), *[none] * (LONGEST - 1), lang, word.cast(pa.string()), pa.array(n)], [*WORDS, "lang", "word", "a"])
+    raw = part.tobytes()
+    mine = np.array(langs)[owner[at]]
+    for lang in set(mine.tolist()):
+        here = np.flatnonzero(mine == lang)
+        names = [raw[a:b] for a, b in zip(starts[at[here]].tolist(), ends[at[here]].tolist())]
+        yield summed(lang, [w[at[here]]], names, n[here])
+
+
+def _joined(counts: list[Counts]) -> Counts:
+    names = None if counts[0][2] is None else [x for c in counts for x in c[2]]
+    return summed(counts[0][0], [np.concatenate(c) for c in zip(*(c[1] for c in counts))], names, np.concatenate([c[3] for c in counts]))
 
 
 def counted(texts: DataFrame, floor: int, known=None, new=None, longest: int = LONGEST, words: bool = True) -> DataFrame:
     """w1 .. w4, lang, word, a: exact counts, of ``floor`` or more, over rows (lang, text).
 
-    Counts the words (with ``words``; only these have lang and word, and one row for each language with
-    w1 = 0 holds the number of its words), and the phrases of 2 .. ``longest`` words whose parts of
-    one word less are all in ``known`` and, with ``new``, not all outside that.
+    Counts the words (with ``words``; only these have lang and word, and rows with w1 = 0 add up to the
+    number of words of a language), and the phrases of 2 .. ``longest`` words whose parts of one
+    word less are all in ``known`` and, with ``new``, not all outside that.
+
+    A task counts _HELD words at a time and sends the counts, cut into ranges of the phrase's hash, as
+    one row of bytes for each range; ranges meet in tasks that add up one range after the other.
     """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = 1 << (4 * parts - 1).bit_length()
+
     def run(batches):
         count = _Counter(known and Marks(known.value), new and Marks(new.value), longest, words)
-        names: list[pa.RecordBatch] = []
+        names: dict[str, list[Counts]] = {}
+        size = 0
 
-        def sums():
-            both = pa.Table.from_batches(names).group_by([*WORDS, "lang", "word"]).aggregate([("a", "sum")])
+        def rows():
+            found = list(count.phrases()) + [_joined(c) for c in names.values()]
             names.clear()
-            both = both.rename_columns([c.removesuffix("_sum") for c in both.column_names]).select([*WORDS, "lang", "word", "a"])
-            total = both.group_by("lang").aggregate([("a", "sum")])
-            zero = pa.array(np.zeros(total.num_rows, np.int64))
-            yield from both.to_batches()
-            yield pa.RecordBatch.from_arrays(
-                [*[zero] * LONGEST, total.column("lang").combine_chunks(), pa.nulls(total.num_rows, pa.string()),
-                 total.column("a_sum").combine_chunks()], [*WORDS, "lang", "word", "a"])
+            packed = list(_pack(found, ids))
+            if packed:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["id", "counts"])
 
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             langs = batch.column("lang").to_pylist()
-            for w, first, begun, starts, ends, part, owner in _words(data, offsets, langs):
+            for w, first, begun, *where in _words(data, offsets, langs):
                 if not len(w):
                     continue
                 if longest > 1:
                     count.add(np.concatenate([begun, w]), np.concatenate([np.arange(len(begun)) == 0, first]), len(begun))
                 if words:
-                    names.append(_names(w, starts, ends, part, owner, langs))
-                if count.size >= _HELD:
-                    yield from count.phrases()
-                if sum(b.num_rows for b in names) >= _HELD // 4:
-                    yield from sums()
-        yield from count.phrases()
-        if names:
-            yield from sums()
+                    for c in _names(w, *where, langs):
+                        names.setdefault(c[0], []).append(c)
+                size += len(w)
+                if size >= _HELD:
+                    yield from rows()
+                    size = 0
+        yield from rows()
+
+    def add(batches):
+        held: dict[tuple, list[Counts]] = {}
+        last = None
+        total: dict[str, int] = {}
+
+        def frequent():
+            for counts in held.values():
+                lang, cols, names, n = _joined(counts)
+                if names is not None:
+                    total[lang] = total.get(lang, 0) + int(n.sum())
+                at = np.flatnonzero(n >= floor)
+                for lo in range(0, len(at), 1 << 16):
+                    some = at[lo:lo + (1 << 16)]
+                    zero = [pa.array(np.zeros(len(some), np.int64))] * (LONGEST - len(cols))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(c[some].view(np.int64)) for c in cols), *zero, pa.array([lang] * len(some), pa.string()),
+                         pa.array([names[i].decode() for i in some.tolist()] if names else [None] * len(some), pa.string()),
+                         pa.array(n[some])], [*WORDS, "lang", "word", "a"])
+            held.clear()
+
+        for batch in batches:
+            for i, data in zip(batch.column("id").to_pylist(), batch.column("counts")):
+                if i != last:
+                    yield from frequent()
+                    last = i
+                for c in _unpack(data.as_py()):
+                    held.setdefault((c[0], len(c[1])), []).append(c)
+        yield from frequent()
+        if total:
+            zero = pa.array(np.zeros(len(total), np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*[zero] * LONGEST, pa.array(list(total), pa.string()), pa.nulls(len(total), pa.string()),
+                 pa.array(list(total.values()), pa.int64())], [*WORDS, "lang", "word", "a"])
 
-    rows = texts.select("lang", "text").mapInArrow(run, _SCHEMA)
-    return rows.groupBy(*WORDS, "lang", "word").agg(F.sum("a").alias("a")).where((F.col("a") >= floor) | (F.col("w1") == 0))
+    sent = texts.select("lang", "text").mapInArrow(run, "id int, counts binary")
+    return sent.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(add, _SCHEMA)
 
 
 def frequent_phrases(docs: DataFrame, floor: int = 30, longest: int = LONGEST) -> DataFrame:
@@ -375,7 +460,7 @@ def collocations(docs: DataFrame, top: int = 2000, floor: int = 30) -> DataFrame
     order = [*best, F.col("phrase")]
     for group in (["lang", "salt"], ["lang"]):
         left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= top)
-    n = found.where("w1 = 0").select("lang", F.col("a").alias("n"))
+    n = found.where("w1 = 0").groupBy("lang").agg(F.sum("a").alias("n"))
     return left.join(n, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 

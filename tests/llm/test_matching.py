@@ -265,3 +265,29 @@ def test_rows_that_repeat_id_and_text_enter_a_tile_once(frame, monkeypatch):
     got = jaccard_join.similar_documents(frame(rows)).collect()
     assert most[-1] == 1
     assert len(got) == 502 and {(r["n_links"], r["class_id"]) for r in got} == {(501, 1)}
+
+
+def test_rows_of_a_group_of_near_copies_grow_with_its_size(frame, monkeypatch):
+    """Links and tile rows follow the number of near copies, not its square, and none is lost."""
+    links, rows = [], []
+    stored_as, tiles_of = jaccard_join.stored, jaccard_join.over_tiles
+
+    def kept(df, name):
+        out = stored_as(df, name)
+        links.append(out.count() if name == "links" else 0)
+        return out
+
+    def tiles(d, keys, *more):
+        rows.append(d.count() if keys[0] == "path" else 0)
+        return tiles_of(d, keys, *more)
+    monkeypatch.setattr(jaccard_join, "stored", kept)
+    monkeypatch.setattr(jaccard_join, "over_tiles", tiles)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "SMALL", 32)
+    words = [f"w{i}" for i in range(200)]
+    for n in (128, 256, 512):
+        links.clear()
+        rows.clear()
+        docs = frame([(i, " ".join(words[:i % 200] + [f"e{i}"] + words[i % 200 + 1:]), "a") for i in range(n)])
+        assert {(r["n_links"], r["class_id"]) for r in jaccard_join.similar_documents(docs).collect()} == {(n - 1, 0)}
+        assert sum(links) < 6 * n and sum(rows) < 100 * n, (n, links, rows)
