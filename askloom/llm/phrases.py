@@ -33,7 +33,7 @@ LOWERED = 0.5        # of the threshold expected in the sample
 BITS_EACH = 16       # of the map, two set for each phrase
 MOST_BITS = 1 << 27  # 16 MB; beyond, more false hits
 _CHUNK = 1 << 15
-_HELD = 1 << 20      # words that a task counts together
+_HELD = 1 << 18      # words that a task counts together
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -50,23 +50,29 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spot(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    for turn in (np.uint64(0), _SECOND):
-        yield (mix(h ^ turn) % np.uint64(size * 8)).astype(np.int64)
+def _spots(h: np.ndarray, size: int, turn: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a map of ``size`` bytes (a power of two) for each phrase."""
+    x = mix(h ^ turn)
+    low = np.uint64(size * 8 - 1)
+    return (x & low).astype(np.int64), (x >> np.uint64(64 - (size * 8 - 1).bit_length())).astype(np.int64)
 
 
 class Marks:
-    """A set of phrases as bits: never a false miss."""
+    """A set of phrases as bits: never a false miss. Beginnings of phrases are marked apart."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for at in _spot(h, len(self.bits)):
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    def has(self, h: np.ndarray, begins: bool = False) -> np.ndarray:
+        first, second = _spots(h, len(self.bits), _SECOND if begins else np.uint64(0))
+        out = self._set(first)
+        at = np.flatnonzero(out)
+        out[at] = self._set(second[at])
         return out
 
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
 
 def phrase_hash(words: list[np.ndarray]) -> np.ndarray:
     """One number for each phrase; words are given by place."""
@@ -87,9 +93,9 @@ def _marks(frequent: DataFrame):
             w = [batch.column(c).to_numpy().view(np.uint64) for c in WORDS]
             k = sum((c != 0).astype(int) for c in w)
             for length in range(1, LONGEST + 1):
-                at = k == length
-                for spot in _spot(phrase_hash([c[at] for c in w[:length]]), size):
-                    yield pa.RecordBatch.from_arrays([pa.array(spot // _CHUNK), pa.array(spot % _CHUNK)], ["chunk", "spot"])
+                for turn, at in ((np.uint64(0), k == length), (_SECOND, k > length)):
+                    for spot in _spots(phrase_hash([c[at] for c in w[:length]]), size, turn):
+                        yield pa.RecordBatch.from_arrays([pa.array(spot // _CHUNK), pa.array(spot % _CHUNK)], ["chunk", "spot"])
 
     def fill(batches):
         bits, last = None, None
@@ -143,40 +149,40 @@ class _Counter:
             if len(h[0]):
                 first[at] = True  # what is added is apart from what was added before
         self.held, self.size = [], 0
+        for at, k in self._expanded(w, first) if self.new is not None else self._border(w, first):
+            at = at[~old[at + k - 1]]
+            yield summed(None, [w[at + j] for j in range(k)], None, np.ones(len(at), np.int64))
+
+    def _border(self, w, first):
+        """Places of the phrases whose parts are all known, by length."""
         h, start = w, np.arange(len(w))
-        known = np.ones(len(w), bool) if self.known is None else self.known.has(h)
-        new = known if self.new is None else known & self.new.has(h)
         for k in range(2, self.longest + 1):
-            # phrases of k words whose first and last k - 1 words are both marked, by their first word
             here = np.zeros(len(w) + 1, bool)
-            here[start[known]] = True
-            fresh = np.zeros(len(w) + 1, bool)
-            fresh[start[new]] = True
-            at = start[known & here[start + 1]]
-            at = at[at + k <= len(w)]
-            at = at[~first[at + k - 1]]
-            if self.new is not None:
-                at = at[fresh[at] | fresh[at + 1]]
-            start = at
-            h = phrase_hash([w[at + j] for j in range(k)])
-            here = ~old[at + k - 1]
-            yield summed(None, [w[at[here] + j] for j in range(k)], None, np.ones(int(here.sum()), np.int64))
-            if k < self.longest:
-                known = self.known.has(h) if self.known is not None else np.ones(len(h), bool)
-                if self.new is not None:  # a phrase counted before may be a part of one that is new
-                    start, known, new = self._all(w, first, k)
-                else:
-                    new = known
-
-    def _all(self, w, first, k):
-        """Every marked phrase of k words, also those that hold nothing new."""
-        at = np.arange(max(0, len(w) - k + 1))
-        for j in range(1, k):
-            at = at[~first[at + j]]
-        at = at[self.known.has(w[at]) & self.known.has(w[at + k - 1])]
-        h = phrase_hash([w[at + j] for j in range(k)])
-        known = self.known.has(h)
-        return at, known, known & self.new.has(h)
+            here[start[self.known.has(h)]] = True
+            start = _going(np.flatnonzero(here[:-1] & here[1:]), first, k)
+            h = phrase_hash([w[start + j] for j in range(k)])
+            yield start, k
+
+    def _expanded(self, w, first):
+        """Places of the phrases of known parts of which one is new, by length."""
+        h, start = w, np.arange(len(w))
+        for k in range(2, self.longest + 1):
+            new = start[self.new.has(h)]
+            at = _going(np.union1d(new, new[new > 0] - 1), first, k)
+            for lo in (0, 1):
+                at = at[self.known.has(phrase_hash([w[at + lo + j] for j in range(k - 1)]))]
+            yield at, k
+            start = _going(start[self.new.has(h, begins=True)], first, k)
+            h = phrase_hash([w[start + j] for j in range(k)])
+
+
+def _going(at: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Those of the places where k words of one piece begin; k - 1 words are known to do so, or follow
+    a place where they do."""
+    at = at[at + k <= len(first)]
+    for j in range(1, k):
+        at = at[~first[at + j]]
+    return at
 
 
 def summed(lang: str | None, cols: list[np.ndarray], names: list[bytes] | None, n: np.ndarray) -> Counts:
@@ -365,7 +371,7 @@ def frequent_phrases(docs: DataFrame, floor: int = 30, longest: int = LONGEST) -
     spread = [c for c in ("doc_id", "text") if c in docs.columns]
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
                         (F.pmod(F.xxhash64(*spread), F.lit(SAMPLE)) == 0).alias("proposes"))
-    sample = texts.where("proposes")
+    sample = stored(texts.where("proposes").select("lang", "text"), "sample")
     low = max(2, round(floor / SAMPLE * LOWERED))
     is_word = F.col("w2") == 0
 

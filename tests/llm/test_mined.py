@@ -79,8 +79,7 @@ def test_words_of_a_long_text_come_in_parts():
     text = "".join(rnd.choice(["ab", "c", "Dé", "long" * 30]) + rnd.choice([" ", " ", "\t \t", "  .", "\n "]) for _ in range(150_000))
     texts = ["x y", "", text, "a b. c"]
     data, offsets = phrases.text_bytes(pa.array(texts))
-    count = phrases._Counter(None, None, 2, False)
-    count.longest = 2
+    count = phrases._Counter(phrases.Marks(np.full(1024, 255, np.uint8)), None, 2, False)
     n = 0
     for w, first, begun, *_ in phrases._words(data, offsets, ["en"] * 4):
         n += len(w)
