@@ -13,9 +13,11 @@ def _mark(edges: DataFrame):
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Node and the least node it is linked with, for every node that has an edge.
 
+    After ``rounds``, where given, some roots may still be other nodes of their component.
+
     ``edges``: u, v (long), either way round, repeats and loops allowed; edges with a null are
     left out. A round moves rows by joins and minima that are taken before the shuffle, so a node
     with very many neighbours is one row per task; the joins' wide side can be split by adaptive
@@ -25,7 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stored(e, "links")
     mark = _mark(e)
-    while mark[0]:
+    done = 0
+    while mark[0] and done != rounds:
+        done += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,11 +40,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = stored(small.select("u", F.col("m").alias("v"))
                    .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
                    .where("u <> v").distinct(), "links")
+        if done == rounds:
+            break
         last, mark = mark, _mark(e)
         if mark == last:
             break
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

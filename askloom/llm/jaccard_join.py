@@ -26,7 +26,7 @@ from askloom.llm.tiles import over_tiles, with_tiles
 SKETCH = 64
 SMALL = 256
 DEPTH = 4
-FIRST = (1, 4)   # runs after which groups are formed anew
+FIRST = 4        # runs before groups are formed
 BLOCK = 1024     # rows of a tile's side in the exact comparison,
 BLOCK_MB = 16    # or so many MB of their n-grams
 SLACK = 4.0  # standard deviations that a sketch's estimate may fall short of the threshold
@@ -103,26 +103,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _split(rows: DataFrame, threshold: float, starts: list[int] | None = None) -> DataFrame:
-    """(path, node) one level down; ``starts`` are the paths of the runs' first buckets."""
+    """(path, node, grp) one level down; ``starts`` are the paths of the runs' first buckets."""
     chosen = np.uint64(int((1 << 64) / (threshold * SKETCH)))
 
     def run(batches):
         where = np.arange(SKETCH, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
-            node = batch.column("node").to_numpy()
+            node, grp = batch.column("node").to_numpy(), batch.column("grp").to_numpy()
             token = _matrix(batch.column("sketch")).astype(np.uint64) | where
             above = [np.full(len(node), s, np.uint64) for s in starts] if starts else [
                 batch.column("path").to_numpy().view(np.uint64)]
-            paths, nodes = [], []
+            paths, at = [], []
             for path in above:
                 h = mix(token * BASE + mix(path * _SECOND)[:, None])
                 i, j = np.nonzero(mix(h + np.uint64(1)) < chosen)
                 paths.append(h[i, j])
-                nodes.append(node[i])
+                at.append(i)
+            at = np.concatenate(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(as_signed(np.concatenate(paths))), pa.array(np.concatenate(nodes))], ["path", "node"])
+                [pa.array(as_signed(np.concatenate(paths))), pa.array(node[at]), pa.array(grp[at])], ["path", "node", "grp"])
 
-    return rows.mapInArrow(run, "path long, node long")
+    return rows.mapInArrow(run, "path long, node long, grp long")
 
 
 def _compare_sketches(least: int):
@@ -165,27 +166,31 @@ def _compare_sketches(least: int):
 def possible_links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """node, root: groups that hold every two classes (node, sketch) which the sketches leave possible.
 
-    Groups are formed after the first run and after some more. From then on only buckets of more than
-    one group are looked into and only links between groups are made, since comparing within a group
-    adds nothing: a large group of near copies is compared in a run or two, not in all.
+    Groups are formed after the first runs. From then on only buckets of more than one group are
+    looked into and only links between groups are made, since comparing within a group adds nothing:
+    a large group of near copies is compared in a few runs, not in all. Until the end groups may be
+    parts of what hangs together; that costs comparisons, not links.
     """
     starts = [int(mix(np.array([1000 + r], np.uint64))[0]) for r in range(runs_for(threshold, recall))]
-    groups = None
-    for lo, hi in zip((0, *FIRST), (*FIRST, len(starts))):
-        if starts[lo:hi]:
-            groups = stored(_pass(classes, threshold, starts[lo:hi], groups), "groups")
-    return groups
+    first = _pass(classes.withColumn("grp", F.col("node")), threshold, starts[:FIRST])
+    groups = stored(_part_groups(first), "groups")
+    rest = _pass(_with_groups(classes, groups), threshold, starts[FIRST:])
+    return connected_components(rest.unionByName(first))
+
+
+def _part_groups(links: DataFrame) -> DataFrame:
+    """node, grp: a node of the same component, the least one where three rounds find it."""
+    return connected_components(links, rounds=3).withColumnRenamed("root", "grp")
 
 
 def _links(tiles: DataFrame, threshold: float) -> DataFrame:
     tiles = tiles.select("path", "lo", "hi", "side", "node", "grp", "sketch")
-    return stored(over_tiles(tiles, ["path", "lo", "hi"], _compare_sketches(least_matches(threshold)), "u long, v long").distinct(), "links")
+    return stored(over_tiles(tiles, ["path", "lo", "hi"], _compare_sketches(least_matches(threshold)), "u long, v long"), "links")
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
-    if groups is None:
-        return rows.withColumn("grp", F.col("node"))
-    return rows.join(groups.withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (node) with the group they are in by now."""
+    return rows.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
 
 
 def first_tiles(rows: DataFrame) -> DataFrame:
@@ -220,42 +225,42 @@ def rest_tiles(rows: DataFrame) -> DataFrame:
     return d.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
 
 
-def _pass(classes: DataFrame, threshold: float, starts: list[int], groups: DataFrame | None) -> DataFrame:
-    """node, root: the groups with the links found in these runs, one DEPTH after the other."""
+def _pass(classes: DataFrame, threshold: float, starts: list[int]) -> DataFrame:
+    """u, v: links between the groups of classes (node, grp, sketch) that these runs find, and of every
+    class with its group."""
+    classes = stored(classes.select("node", "grp", "sketch"), "classes")
     level = stored(_split(classes, threshold, starts), "paths")
-    found, depth = [], 1
+    few, found, depth = [], [], 1
     while True:
-        if groups is None:
-            sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        else:
-            sizes = _with_groups(level, groups).groupBy("path").agg(
-                F.count(F.lit(1)).alias("size"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").drop("a", "b")
+        sizes = level.groupBy("path").agg(
+            F.count(F.lit(1)).alias("size"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").drop("a", "b")
         large = F.col("size") > SMALL
-        rows = stored(level.join(sizes, "path").join(classes.select("node", "sketch"), "node"), "buckets")
-        few = _with_groups(rows.where(~large), groups)
-        found.append(_links(with_tiles(few, ["path"], "size", "node", SMALL), threshold))
+        rows = stored(level.drop("grp").join(sizes, "path").join(classes, "node"), "buckets")
+        few.append(with_tiles(rows.where(~large), ["path"], "size", "node", SMALL))
         more = rows.where(large)
         if not more.take(1):
+            found.append(_links(reduce(DataFrame.unionByName, few), threshold))
             break
         if depth == DEPTH:
-            more = stored(_mixed(more, groups), "buckets")
+            found.append(_links(reduce(DataFrame.unionByName, few), threshold))
             wide = _pools(more).where(F.col("few") > SMALL).withColumn("size", F.col("few"))
             if wide.take(1):
                 found.append(_links(first_tiles(wide), threshold))
-                groups, found = stored(_grouped(found, groups), "groups"), []
-                more = stored(_mixed(more.drop("grp"), groups), "buckets")
+                groups = stored(_part_groups(_with_members(reduce(DataFrame.unionByName, found), classes)), "groups")
+                more = stored(_mixed(_with_groups(more.drop("grp"), groups)), "buckets")
             found.append(_links(rest_tiles(more), threshold))
             break
-        level = stored(_split(more.select("path", "node", "sketch"), threshold), "paths")
+        level = stored(_split(more, threshold), "paths")
         depth += 1
-    return _grouped(found, groups)
+    return _with_members(reduce(DataFrame.unionByName, found), classes)
+
 
+def _with_members(links: DataFrame, classes: DataFrame) -> DataFrame:
+    return links.unionByName(classes.where("node <> grp").select(F.col("node").alias("u"), F.col("grp").alias("v")))
 
-def _mixed(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Rows of the buckets that hold more than one group, with their group."""
-    rows = _with_groups(rows, groups)
-    if groups is None:
-        return rows
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one group."""
     mixed = rows.groupBy("path").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("path")
     return rows.join(mixed, "path", "left_semi")
 
@@ -267,11 +272,6 @@ def _pools(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.select("path", "grp"), ["path", "grp"], "left_semi").join(pool, "path")
 
 
-def _grouped(found: list[DataFrame], groups: DataFrame | None) -> DataFrame:
-    links = [*found, *([groups.select(F.col("node").alias("u"), F.col("root").alias("v"))] if groups is not None else [])]
-    return connected_components(reduce(DataFrame.unionByName, links))
-
-
 def _sets(rows: DataFrame, width: int, kept: str) -> DataFrame:
     """n-gram sets (sorted distinct 64-bit hashes, as bytes) in place of the text."""
     names = kept.split()
