@@ -36,9 +36,14 @@ def dedup_events(events: DataFrame, busy_us: int, **how) -> DataFrame:
 
 
 def file_changes(events: DataFrame, ext: str = ".pdf") -> DataFrame:
-    """Last change per source: ``source, change (ingest/delete), event_id``.
+    """Last change per source: ``source, change (ingest/delete), event_id``; see ``last_changes``."""
+    return last_changes(events, ext).select("source", "last.change", "last.event_id")
 
-    Input ``event_id, t, action, src, dest``. A move deletes the old path and, when the new
+
+def last_changes(events: DataFrame, ext: str = ".pdf") -> DataFrame:
+    """``source, last``: the last change per source, a struct that orders as changes do.
+
+    Its fields are t, event_id, seq (a move's steps) and change (ingest/delete). Input ``event_id, t, action, src, dest``. A move deletes the old path and, when the new
     one has the extension, ingests it. Partial maxima are taken before the shuffle.
     """
 
@@ -54,6 +59,4 @@ def file_changes(events: DataFrame, ext: str = ".pdf") -> DataFrame:
         .when((F.col("action") == "moved") & dest.isNotNull(), F.array(step(src, "delete", 0)))
     )
     flat = events.filter(has_extension("src", ext)).select("t", "event_id", F.inline(steps))
-    last = flat.groupBy("source").agg(
-        F.max(F.struct("t", "event_id", "seq", "change")).alias("last"))
-    return last.select("source", "last.change", "last.event_id")
+    return flat.groupBy("source").agg(F.max(F.struct("t", "event_id", "seq", "change")).alias("last"))

@@ -99,3 +99,34 @@ def cache_stream(events: DataFrame, ttl_s: int, lateness: str | None = None) ->
 
 def dedup_events_stream(events: DataFrame, busy_us: int, lateness: str | None = None) -> DataFrame:
     return replay_stream(events, Rule(busy_us), lateness).filter("ok").drop("ok", "lead")
+
+
+class _Count(StatefulProcessor):
+    """Numbers the rows of a key: those of a micro-batch by time, after those of the batches before."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle):
+        self.state = handle.getValueState("count", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"], kind="stable")
+        n = self.state.get()[0] if self.state.exists() else 0
+        self.state.update((n + len(pdf),))
+        yield pdf.assign(rank=range(n + 1, n + len(pdf) + 1))[self.columns]
+
+    def close(self):
+        pass
+
+
+def daily_quota_stream(events: DataFrame, per_day: int, zone: str = "UTC") -> DataFrame:
+    """Streaming form of ``daily_quota``; a late request takes what is left of its day. Every key's days stay."""
+    from askloom.operators.quota import day_columns, quota_columns
+
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    day, until = day_columns(F.col("t"), zone)
+    schema = T.StructType(events.schema.fields + [T.StructField("rank", T.LongType())])
+    counted = events.withColumn("day_", day).groupBy("key", "day_").transformWithStateInPandas(
+        statefulProcessor=_Count(schema.names), outputStructType=schema, outputMode="Append", timeMode="None")
+    return counted.select(*events.columns, *quota_columns(per_day, F.col("rank"), F.col("t"), until))

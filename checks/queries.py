@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import masking, text as tx
 from askloom.operators import (
-    cache, chunk, embed, guard_input, guard_output, index, rerank, retrieve, throttle, toxicity)
+    cache, chunk, embed, guard_input, guard_output, index, quota, rerank, retrieve, throttle, toxicity)
 from askloom.plans import answer as answer_plan, ingest
 from askloom.session import checkpointed, micros, scratch_path, ship, spread
 from askloom.sources import events as ev, files
@@ -85,7 +85,7 @@ def file_changes(spark, sf):
 @query
 def apply_file_events(spark, sf):
     corpus = tb.corpus(spark, sf)
-    long = files.drop_short_pages(corpus.withColumnRenamed("content", "text"), 300)  # the others yield no chunk
+    long = files.drop_short_pages(corpus.withColumnRenamed("content", "text"))  # the others yield no chunk
     return index.apply_changes(
         tb.stored_index(spark, sf), ev.file_changes(tb.file_events(spark, sf)),
         tb.whole_rows(long.withColumnRenamed("text", "content")), files.with_fingerprint(corpus)).select(
@@ -281,6 +281,11 @@ def token_bucket(spark, sf):
     return throttle.token_bucket(tb.keyed_events(spark, sf), idle_s=None, **BUCKET)
 
 
+@query
+def daily_quota(spark, sf):
+    return quota.daily_quota(tb.keyed_events(spark, sf), per_day=2, zone="Asia/Kolkata")
+
+
 @query
 def token_bucket_idle_reset(spark, sf):
     return throttle.token_bucket(tb.keyed_events(spark, sf), capacity=5,
@@ -391,6 +396,12 @@ def token_bucket_stream(spark, sf):
     return _drained(spark, live.token_bucket_stream(events, **BUCKET), "bucket")
 
 
+@query
+def daily_quota_stream(spark, sf):
+    events = _events_stream(spark, sf).drop("event_type")
+    return _drained(spark, live.daily_quota_stream(events, per_day=2, zone="Asia/Kolkata"), "quota")
+
+
 @query
 def cache_stream(spark, sf):
     events = _events_stream(spark, sf).select(F.concat_ws(":", "key", "event_type").alias("key"), "t", "id")
@@ -415,6 +426,20 @@ def stream_ingest(spark, sf):
     return stream_in.read_index(spark, path).drop("embedding")
 
 
+@query
+def replay_file_events(spark, sf):
+    """The event log in four micro-batches that are not in the order of time."""
+    path = scratch_path(spark, "index")
+    stream_in.create_index(spark, path)
+    docs = tb.corpus(spark, sf).withColumn("content", F.concat_ws(" ", "source", "content"))
+    events = tb.file_events(spark, sf).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    for batch in range(4):
+        stream_in.event_batch(spark, path, events.where(F.col("part") == batch).drop("part"), docs, batch)
+        if batch == 1:
+            stream_in.compact_index(spark, path)
+    return stream_in.read_index(spark, path).select("source", "file_hash").distinct()
+
+
 @query
 def toxicity_flag(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")

@@ -98,7 +98,7 @@ UNION ALL SELECT id, source, file_hash FROM fresh"""
 
 TWINS["apply_file_events"] = f"WITH {_CORPUS}, {_CHANGES}, " + _NEW_ROWS.format(
     todo="SELECT source FROM changes JOIN statuses USING (source) WHERE change = 'ingest' AND status <> 'UNCHANGED'",
-    gone="SELECT source FROM changes WHERE change = 'delete'", chunks=f"length({strip('content')}) >= 300")
+    gone="SELECT source FROM changes WHERE change = 'delete'", chunks=f"length({strip('content')}) >= 20")
 
 TWINS["upsert_index"] = f"WITH {_CORPUS}, " + _NEW_ROWS.format(
     todo="SELECT source FROM statuses WHERE status <> 'UNCHANGED'", gone="SELECT 'none'", chunks="TRUE")
@@ -563,3 +563,18 @@ TWINS["stream_ingest"] = f"""
 WITH RECURSIVE {_CORPUS}, {_rows_ctes('corpus')}
 SELECT id, source, filename, page, chunk_idx, text, file_hash FROM made
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""
+
+TWINS["replay_file_events"] = f"""
+WITH {_CHANGES}, docs AS (
+  SELECT '/corpus/' || doc_id || '.pdf' AS source, '/corpus/' || doc_id || '.pdf ' || text AS content FROM documents)
+SELECT source, md5(content) AS file_hash FROM docs JOIN changes USING (source)
+WHERE change = 'ingest' AND length({strip('content')}) >= 20"""
+
+TWINS["daily_quota"] = """
+WITH e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS t, event_id AS id,
+                  epoch_us(ts) + 19800000000 AS local FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY key, local // 86400000000 ORDER BY t, id) AS n FROM e)
+SELECT key, t, id, n <= 2 AS allowed, greatest(2 - n, 0)::BIGINT AS remaining,
+       CASE WHEN n > 2 THEN ceil((86400000000 - local % 86400000000) / 1000000.0)::BIGINT END AS retry_after_s
+FROM r"""
+TWINS["daily_quota_stream"] = TWINS["daily_quota"]
