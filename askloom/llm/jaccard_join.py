@@ -172,9 +172,9 @@ def possible_links(classes: DataFrame, threshold: float, recall: float) -> DataF
     parts of what hangs together; that costs comparisons, not links.
     """
     starts = [int(mix(np.array([1000 + r], np.uint64))[0]) for r in range(runs_for(threshold, recall))]
-    first = _pass(classes.withColumn("grp", F.col("node")), threshold, starts[:FIRST])
+    first = _pass(classes.withColumn("grp", F.col("node")), threshold, starts[:FIRST], False)
     groups = stored(_part_groups(first), "groups")
-    rest = _pass(_with_groups(classes, groups), threshold, starts[FIRST:])
+    rest = _pass(_with_groups(classes, groups), threshold, starts[FIRST:], True)
     return connected_components(rest.unionByName(first))
 
 
@@ -225,9 +225,13 @@ def rest_tiles(rows: DataFrame) -> DataFrame:
     return d.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
 
 
-def _pass(classes: DataFrame, threshold: float, starts: list[int]) -> DataFrame:
+def _pass(classes: DataFrame, threshold: float, starts: list[int], grouped: bool) -> DataFrame:
     """u, v: links between the groups of classes (node, grp, sketch) that these runs find, and of every
-    class with its group."""
+    class with its group.
+
+    With groups of more than one (``grouped``) a bucket of a few large groups and few other rows is
+    compared at once: that is less than to split it.
+    """
     classes = stored(classes.select("node", "grp", "sketch"), "classes")
     level = stored(_split(classes, threshold, starts), "paths")
     few, found, depth = [], [], 1
@@ -241,6 +245,10 @@ def _pass(classes: DataFrame, threshold: float, starts: list[int]) -> DataFrame:
         if not more.take(1):
             found.append(_links(reduce(DataFrame.unionByName, few), threshold))
             break
+        if grouped and depth < DEPTH:
+            near = stored(_nearly_whole(more), "buckets")
+            found.append(_links(rest_tiles(more.join(near, "path", "left_semi")), threshold))
+            more = more.join(near, "path", "left_anti")
         if depth == DEPTH:
             found.append(_links(reduce(DataFrame.unionByName, few), threshold))
             wide = _pools(more).where(F.col("few") > SMALL).withColumn("size", F.col("few"))
@@ -255,6 +263,15 @@ def _pass(classes: DataFrame, threshold: float, starts: list[int]) -> DataFrame:
     return _with_members(reduce(DataFrame.unionByName, found), classes)
 
 
+def _nearly_whole(rows: DataFrame) -> DataFrame:
+    """path of the buckets with up to SMALL rows outside their large groups, and up to four of those."""
+    sizes = rows.groupBy("path", "grp").agg(F.count(F.lit(1)).alias("n"))
+    is_large = F.col("n") > SMALL // 2
+    return sizes.groupBy("path").agg(
+        F.sum(F.when(is_large, 0).otherwise(F.col("n"))).alias("few"), F.count(F.when(is_large, 1)).alias("many")).where(
+        (F.col("few") <= SMALL) & (F.col("many") <= 4)).select("path")
+
+
 def _with_members(links: DataFrame, classes: DataFrame) -> DataFrame:
     return links.unionByName(classes.where("node <> grp").select(F.col("node").alias("u"), F.col("grp").alias("v")))
 
