@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from askloom.llm.common import BASE, SPACE, crc_of_id, mix, pieces, span_hashes, text_bytes, word_spans
+from askloom.llm.common import BASE, SPACE, crc_of_id, mix, pieces, span_hashes, stored, text_bytes, word_spans
 
 BITS = 17
 NGRAMS = (3, 4)
@@ -23,9 +23,10 @@ class Model:
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of words, of a word said twice, of character n-grams of each length; with bounds by text.
+    """Buckets of words, of word pairs, of a word said twice, of character n-grams of each length; with bounds by text.
 
-    The only word pairs taken are those of a word with itself, which share one bucket.
+    Every pair of neighbours has a bucket by its hash; pairs of a word with itself count in a
+    common bucket as well.
 
     Characters are UTF-8 characters; white space counts as one mark that may begin or end an
     n-gram but not lie inside it. No n-gram crosses two texts.
@@ -34,10 +35,12 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     starts, ends = word_spans(data, offsets)
     words, bounds = span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
     yield (words >> shift).astype(np.int32), bounds
-    pair = np.zeros(len(words), bool)
-    pair[1:] = words[1:] == words[:-1]
-    pair[bounds[:-1][bounds[:-1] < len(words)]] = False
-    twice = np.flatnonzero(pair)
+    second = np.ones(len(words), bool)
+    second[bounds[:-1][bounds[:-1] < len(words)]] = False
+    second = np.flatnonzero(second)
+    code = mix(words[second - 1] * BASE + words[second])
+    yield (code >> shift).astype(np.int32), np.searchsorted(second, bounds)
+    twice = second[words[second] == words[second - 1]]
     yield np.zeros(len(twice), np.int32), np.searchsorted(twice, bounds)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     wide = np.concatenate([data, np.zeros(4, np.uint8)])
@@ -123,12 +126,15 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: in
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, held_out: bool = True, **options) -> Model:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, held_out: bool = True,
+                max_pairs: int = 32_000_000, **options) -> Model:
     """Train on at most ``max_rows`` labelled documents, whole, those with the least id hashes.
 
     labels: doc_id, quality. Rows whose crc32 of the id is 2 modulo 4 are never used (unless
-    ``held_out`` is false). Of a repeated id the least label counts; null ids and labels are left
-    out. The driver gets hashed counts of the chosen documents, at most 2 ** BITS pairs each.
+    ``held_out`` is false). Of a repeated id the least label and the least text count; null ids and
+    labels are left out. The driver gets hashed counts of the chosen documents, one row for each id:
+    of documents in the order of their id hashes as many as have ``max_pairs`` (bucket, share) pairs
+    of eight bytes, the first one always.
     """
     pool = labels.where("doc_id is not null and quality in (0, 1)")
     if held_out:
@@ -136,8 +142,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, held_o
     chosen = (pool.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows ids
-    rows = picked.mapInArrow(_features, "doc_id long, y int, at binary, share binary").toPandas()
-    rows = rows.sort_values(["doc_id", "share"]).drop_duplicates("doc_id")
+    picked = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    made = stored(picked.mapInArrow(_features, "doc_id long, y int, at binary, share binary"), "features")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over max_rows ids
+    sizes = made.select("doc_id", (F.length("at") / 4).cast("long").alias("pairs"))
+    fit = sizes.withColumn("total", F.sum("pairs").over(order)).withColumn("nth", F.row_number().over(order))
+    fit = fit.where((F.col("total") <= max_pairs) | (F.col("nth") == 1)).select("doc_id")
+    rows = made.join(F.broadcast(fit), "doc_id").toPandas().sort_values("doc_id")
     return sgd([(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32), int(y))
                 for a, s, y in zip(rows["at"], rows["share"], rows["y"])], **options)
 
