@@ -29,6 +29,7 @@ DEPTH = 4
 FIRST = 4        # runs before groups are formed
 BLOCK = 1024     # rows of a tile's side in the exact comparison,
 BLOCK_MB = 16    # or so many MB of their n-grams
+TILE = ["path", "lo", "hi", "side", "node", "grp", "sketch"]
 SLACK = 4.0  # standard deviations that a sketch's estimate may fall short of the threshold
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -184,8 +185,7 @@ def _part_groups(links: DataFrame) -> DataFrame:
 
 
 def _links(tiles: DataFrame, threshold: float) -> DataFrame:
-    tiles = tiles.select("path", "lo", "hi", "side", "node", "grp", "sketch")
-    return stored(over_tiles(tiles, ["path", "lo", "hi"], _compare_sketches(least_matches(threshold)), "u long, v long"), "links")
+    return stored(over_tiles(tiles.select(TILE), ["path", "lo", "hi"], _compare_sketches(least_matches(threshold)), "u long, v long"), "links")
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _pass(classes: DataFrame, threshold: float, starts: list[int], grouped: bool
     """
     classes = stored(classes.select("node", "grp", "sketch"), "classes")
     level = stored(_split(classes, threshold, starts), "paths")
-    few, found, depth = [], [], 1
+    few, whole, found, depth = [], [], [], 1
     while True:
         sizes = level.groupBy("path").agg(
             F.count(F.lit(1)).alias("size"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").drop("a", "b")
@@ -242,15 +242,19 @@ def _pass(classes: DataFrame, threshold: float, starts: list[int], grouped: bool
         rows = stored(level.drop("grp").join(sizes, "path").join(classes, "node"), "buckets")
         few.append(with_tiles(rows.where(~large), ["path"], "size", "node", SMALL))
         more = rows.where(large)
-        if not more.take(1):
-            found.append(_links(reduce(DataFrame.unionByName, few), threshold))
-            break
-        if grouped and depth < DEPTH:
+        empty = not more.take(1)
+        last = empty or depth == DEPTH
+        if grouped and not last:
             near = stored(_nearly_whole(more), "buckets")
-            found.append(_links(rest_tiles(more.join(near, "path", "left_semi")), threshold))
+            whole.append(more.join(near, "path", "left_semi"))
             more = more.join(near, "path", "left_anti")
-        if depth == DEPTH:
-            found.append(_links(reduce(DataFrame.unionByName, few), threshold))
+        if last:  # the tiles of all levels at once: paths differ between levels
+            tiles = [t.select(TILE) for t in few]
+            if whole:
+                tiles.append(rest_tiles(reduce(DataFrame.unionByName, whole)).select(TILE))
+            found.append(_links(reduce(DataFrame.unionByName, tiles), threshold))
+            if empty:
+                break
             wide = _pools(more).where(F.col("few") > SMALL).withColumn("size", F.col("few"))
             if wide.take(1):
                 found.append(_links(first_tiles(wide), threshold))
