@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from askloom.functions.text import let, words
+from askloom.operators.index import latest_per_id
 
 # Chunks kept, lowest score kept, defaults of missing metadata, fallback answer.
 TOP_N = 3
@@ -27,6 +28,57 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
         F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
 
 
+def term_stats(chunks: DataFrame) -> DataFrame:
+    """``term, df, n_words``: chunks that have a word; the row of the null term holds the number of
+    chunks and of all their words.
+
+    A table to be kept beside the index: one row for each word, counted partially before the shuffle.
+    """
+    bag = words("text")
+    terms = chunks.select(F.explode(F.array_distinct(bag)).alias("term"), F.lit(0).cast("bigint").alias("n"))
+    total = chunks.select(F.lit(None).cast("string").alias("term"), F.greatest(F.size(bag), F.lit(0)).cast("bigint").alias("n"))
+    return terms.unionByName(total).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n_words"))
+
+
+def change_stats(stats: DataFrame, removed: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
+    """``term_stats`` after chunks went and came. Only those chunks are read, not the corpus.
+
+    ``removed`` must hold the rows (text) as they were counted; words of no chunk any more drop out.
+    """
+    parts = stats.select("term", "df", "n_words")
+    if removed is not None:
+        parts = parts.unionByName(term_stats(removed).select("term", (-F.col("df")).alias("df"), (-F.col("n_words")).alias("n_words")))
+    if added is not None:
+        parts = parts.unionByName(term_stats(added))
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_words").alias("n_words")).where("df > 0")
+
+
+def upsert_stats(stats: DataFrame, index: DataFrame, new_rows: DataFrame, order: str = "seq") -> DataFrame:
+    """Statistics that fit ``upsert_index(index, new_rows, order)``.
+
+    Reads the rows of the index that the change takes away: those of its sources and of its ids.
+    """
+    new = latest_per_id(new_rows, order)
+    gone = index.join(new_rows.select("source").distinct(), "source", "left_semi").select("id", "text").unionByName(
+        index.join(new_rows.select("source").distinct(), "source", "left_anti")
+        .join(new.select("id"), "id", "left_semi").select("id", "text"))
+    return change_stats(stats, gone, new)
+
+
+def delete_stats(stats: DataFrame, index: DataFrame, sources: DataFrame) -> DataFrame:
+    """Statistics that fit ``delete_sources(index, sources)``."""
+    return change_stats(stats, index.join(sources.select("source").distinct(), "source", "left_semi"))
+
+
+def _terms_by_stats(queries: DataFrame, stats: DataFrame) -> DataFrame:
+    """As ``query_terms``, from kept statistics."""
+    terms = queries.select("req_id", F.explode(F.array_distinct(words("query"))).alias("term"))
+    n_docs = stats.where("term is null").agg(F.max("df").alias("n_docs"))
+    idf = F.log(1 + (n_docs.scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    return (terms.join(stats.where("term is not null"), "term").select("req_id", "term", idf).groupBy("req_id")
+            .agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms")))
+
+
 def query_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """``req_id, terms``: each question's distinct words with their inverse document frequency.
 
@@ -63,10 +115,19 @@ def bm25(bag: Column, terms: Column, avg_len: Column, k1: float = K1, b: float =
         F.filter(bag, lambda w: F.array_contains(names, w)), score))
 
 
-def rerank_score(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add ``rerank_score`` to ``req_id, id, rank, distance, text, ...``: BM25 with corpus statistics."""
-    scored = candidates.join(query_terms(queries, chunks), "req_id", "left").withColumn(
-        "avg_len", corpus_stats(chunks).select("avg_len").scalar()).withColumn("bag", words("text"))
+def rerank_score(candidates: DataFrame, queries: DataFrame, chunks: DataFrame | None,
+                 stats: DataFrame | None = None) -> DataFrame:
+    """Add ``rerank_score`` to ``req_id, id, rank, distance, text, ...``: BM25 with corpus statistics.
+
+    With ``stats`` (see ``term_stats``) the corpus is not read, and ``chunks`` may be None.
+    """
+    if stats is None:
+        terms, mean = query_terms(queries, chunks), corpus_stats(chunks).select("avg_len")
+    else:
+        terms = _terms_by_stats(queries, stats)
+        mean = stats.where("term is null").agg((F.max("n_words") / F.max("df")).alias("avg_len"))
+    scored = candidates.join(terms, "req_id", "left").withColumn(
+        "avg_len", mean.scalar()).withColumn("bag", words("text"))
     return scored.withColumn("rerank_score", F.round(F.coalesce(
         bm25(F.col("bag"), F.col("terms"), F.col("avg_len")), F.lit(0.0)), _ROUND)).drop("terms", "avg_len", "bag")
 

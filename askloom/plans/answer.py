@@ -18,13 +18,20 @@ INPUT_BLOCKED, RATE_LIMITED, CACHE_HIT, RAG_PIPELINE, OUTPUT_BLOCKED = (
 
 
 def retrieve(queries: DataFrame, index: DataFrame, k: int = TOP_K, top_n: int = rerank.TOP_N,
-             min_score: float = rerank.MIN_SCORE) -> DataFrame:
-    """``req_id, query`` -> the kept chunks per question with distance, score and position."""
-    vectors = queries.select("req_id", embed_text("query").alias("embedding"))
-    near = vector_topk(vectors, index, k)
+             min_score: float = rerank.MIN_SCORE, embed: Callable = embed_text,
+             search: Callable[..., DataFrame] = vector_topk,
+             score: Callable[..., DataFrame] = rerank.rerank_score) -> DataFrame:
+    """``req_id, query`` -> the kept chunks per question with distance, score and position.
+
+    ``embed`` makes a vector column of a text column, as the index was embedded; ``search`` takes
+    vectors, index and k (``vector_topk`` or ``vector_topk_lsh``); ``score`` takes candidates,
+    questions and index and adds ``rerank_score``.
+    """
+    vectors = queries.select("req_id", embed("query").alias("embedding"))
+    near = search(vectors, index, k)
     texts = index.select("id", "filename", "page", "text")
     candidates = near.join(texts, "id")
-    return rerank.rerank_topn(rerank.rerank_score(candidates, queries, index), top_n, min_score)
+    return rerank.rerank_topn(score(candidates, queries, index), top_n, min_score)
 
 
 def extractive_answer(contexts: DataFrame) -> DataFrame:

@@ -193,6 +193,18 @@ def rerank_score(spark, sf):
     return _scored(spark, sf).select("req_id", "id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@query
+def rerank_score_kept(spark, sf):
+    """The same from statistics kept along with the index: sources deleted, then written again."""
+    index_ = tb.chunk_index(spark, sf)
+    again = index_.where(F.pmod(F.xxhash64("source"), F.lit(3)) == 0)
+    stats = rerank.delete_stats(rerank.term_stats(index_), index_, again)
+    stats = rerank.upsert_stats(stats, index_.join(again.select("source").distinct(), "source", "left_anti"),
+                                again.withColumn("seq", F.lit(0)))
+    scored = rerank.rerank_score(_candidates(spark, sf), tb.questions(spark, sf), None, stats)
+    return scored.select("req_id", "id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 def _ranked(spark, sf, min_score=20.0):
     return rerank.rerank_topn(_scored(spark, sf), min_score=min_score)
 

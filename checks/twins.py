@@ -293,6 +293,7 @@ scored AS MATERIALIZED (
 
 TWINS["rerank_score"] = f"""
 WITH RECURSIVE {_SCORED} SELECT req_id, id, rank, round(score, 6) AS rerank_score FROM scored"""
+TWINS["rerank_score_kept"] = TWINS["rerank_score"]
 
 _KEPT = f"""
 {_SCORED},
