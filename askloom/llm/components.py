@@ -1,50 +1,71 @@
-"""Connected components as DataFrame jobs: large-star and small-star rounds until nothing moves."""
+"""Connected components as DataFrame jobs: stars within tasks, then one step up, until nothing moves."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from askloom.llm.common import stored
 
+HELD = 1 << 20  # edges that a task joins at a time
+EDGE = "u long, v long"
+
 
 def _mark(edges: DataFrame):
     row = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
     return row[0], row[1]
 
 
+def _stars(batches):
+    """Every HELD edges as (node, least node that they link it with)."""
+    def joined(held):
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = forest(len(names), at[:len(u)], at[len(u):])
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield joined(held)
+            held, n = [], 0
+    if n:
+        yield joined(held)
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """Links a node's smaller neighbours with the least of them, then every node with its neighbour's least one."""
+    near = edges.mapInArrow(_stars, EDGE).repartition("u").sortWithinPartitions("u").mapInArrow(_stars, EDGE)
+    up = near.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("w"))
+    return near.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+
+
 def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Node and the least node it is linked with, for every node that has an edge.
 
     After ``rounds``, where given, some roots may still be other nodes of their component.
 
     ``edges``: u, v (long), either way round, repeats and loops allowed; edges with a null are
-    left out. A round moves rows by joins and minima that are taken before the shuffle, so a node
-    with very many neighbours is one row per task; the joins' wide side can be split by adaptive
+    left out. Tasks turn the edges they read into stars before the shuffle, so a node with very many
+    neighbours is one row for every HELD edges; the join's wide side can be split by adaptive
     execution. Every round's edges are a written table. Empty input gives an empty result.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = stored(e, "links")
+        F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    e = stored(e.mapInArrow(_stars, EDGE), "links")
     mark = _mark(e)
     done = 0
     while mark[0] and done != rounds:
         done += 1
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        large = stored(large, "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = stored(small.select("u", F.col("m").alias("v"))
-                   .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-                   .where("u <> v").distinct(), "links")
-        if done == rounds:
-            break
-        last, mark = mark, _mark(e)
-        if mark == last:
-            break
+        e = stored(_round(e), "links")
+        if done != rounds:
+            last, mark = mark, _mark(e)
+            if mark == last:
+                break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 

@@ -180,8 +180,8 @@ def possible_links(classes: DataFrame, threshold: float, recall: float) -> DataF
 
 
 def _part_groups(links: DataFrame) -> DataFrame:
-    """node, grp: a node of the same component, the least one where three rounds find it."""
-    return connected_components(links, rounds=3).withColumnRenamed("root", "grp")
+    """node, grp: a node of the same component, the least one where two rounds find it."""
+    return connected_components(links, rounds=2).withColumnRenamed("root", "grp")
 
 
 def _links(tiles: DataFrame, threshold: float) -> DataFrame:
