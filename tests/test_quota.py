@@ -103,3 +103,20 @@ def test_any_order_of_events_gives_the_same_index(spark, tmp_path):
         _events(spark, log[lo:lo + 8]).coalesce(1).write.mode("append").parquet(src)
         live.stream_events(spark.readStream.schema(schema).parquet(src), lambda: docs, path, str(tmp_path / "log"), availableNow=True).awaitTermination()
     assert [s for s, _ in rows_of(spark, path)] == sorted(s for s, here in last.items() if here)
+
+
+def test_quota_stream_calls_python_once_a_block(spark, tmp_path):
+    """One call for each user and day took longer than the work itself."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    day = 86_400_000_000
+    big = (1 << 60) + 1                                  # no double holds it
+    rows = [(f"u{i % 700}", (i % 2) * day + i, big + i, "x") for i in range(2_000)]
+    rows += [(None, 5, big - 1, "x"), (None, 6, big - 2, None), ("", 5, big - 3, "x")]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(src)
+    query = streams.daily_quota_stream(spark.readStream.schema(SCHEMA).parquet(src), 2).writeStream.format("parquet").option(
+        "path", out).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert Counter(tuple(r) for r in spark.read.parquet(out).collect()) == _plain(rows, 2, "UTC")
+    # a block and day is one state; before, each of the 1,402 users and days was
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * streams.DAY_BLOCKS
