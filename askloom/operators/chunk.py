@@ -9,7 +9,11 @@ far at every leaf.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -19,6 +23,7 @@ from askloom.sources.files import SHORT_HASH
 # Chunk size and overlap in characters, separators in order of preference.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 150
+BATCH_BYTES = 1 << 20           # text cut at a time
 SEPARATORS = ["\n\n", "\n", " "]
 
 
@@ -70,15 +75,27 @@ def chunks_of(text: str, size: int, overlap: int, seps: list[str]) -> list[str]:
     return out
 
 
+def pieces(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """Slices of up to ``most`` bytes, or of one longer text, so that Python holds few texts at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def split_text(column: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                separators: list[str] | None = None) -> Column:
     """The chunks of a text column, in reading order; none for a null text."""
     seps = list(SEPARATORS if separators is None else separators)
 
     @arrow_udf("array<string>")
-    def chunks(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else chunks_of(t, size, overlap, seps) for t in texts.to_pylist()],
-                        pa.list_(pa.string()))
+    def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in pieces(texts):
+                yield pa.array([None if t is None else chunks_of(t, size, overlap, seps) for t in part.to_pylist()],
+                               pa.list_(pa.string()))
 
     return chunks(F.col(column))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -10,6 +12,7 @@ from pyspark.sql.functions import arrow_udf
 from askloom.functions.text import words
 
 DIM = 256
+BATCH_ROWS = 1024               # texts whose counts are held at a time
 
 
 def word_buckets(text, dim: int = DIM) -> Column:
@@ -22,11 +25,10 @@ def embed_text(text, dim: int = DIM) -> Column:
     """Counts per bucket, scaled to length one; a text without words gives the zero vector.
 
     Hashing stays in the JVM; only the small bucket lists go through Arrow, where one histogram
-    serves a whole batch.
+    serves a thousand texts.
     """
 
-    @arrow_udf("array<float>")
-    def histogram(buckets: pa.Array) -> pa.Array:
+    def of(buckets: pa.Array) -> pa.Array:
         n = len(buckets)
         sizes = np.diff(buckets.offsets.to_numpy())
         rows = np.repeat(np.arange(n, dtype=np.int64), sizes)
@@ -37,5 +39,11 @@ def embed_text(text, dim: int = DIM) -> Column:
         return pa.ListArray.from_arrays(
             pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(unit.ravel()))
 
+    @arrow_udf("array<float>")
+    def histogram(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for lo in range(0, len(batch), BATCH_ROWS):
+                yield of(batch.slice(lo, BATCH_ROWS))
+
     empty = F.array().cast("array<int>")
     return histogram(F.coalesce(word_buckets(text, dim), empty))

@@ -19,6 +19,7 @@ from askloom.session import checkpointed
 
 TOP_K = 10                      # fixed value: candidates per question
 BROADCAST_BYTES = 64 << 20      # questions are broadcast up to this size
+SCAN_ROWS = 2_048               # chunks multiplied at a time with broadcast questions
 BLOCK_ROWS = 20_000             # rows per side of a block otherwise
 FIT_QUESTIONS = 64              # searched exactly to size the hashed form
 MAX_TABLES = 64                 # copies of a vector that the hashed form may make
@@ -109,8 +110,9 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
         def scan(batches):
             req, q = shared.value
             held = None
-            for b in batches:
-                if b.num_rows and len(q):
+            for whole in batches:
+                for lo in range(0, whole.num_rows if len(q) else 0, SCAN_ROWS):
+                    b = whole.slice(lo, SCAN_ROWS)
                     held = _best(q, _matrix(b.column(1)), _ids(b.column(0)), k, held)
             if held is not None:
                 yield pa.RecordBatch.from_arrays(

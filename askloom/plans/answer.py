@@ -10,7 +10,7 @@ from askloom.functions.text import strip_ws
 from askloom.operators import cache, guard_input, guard_output, rerank, throttle
 from askloom.operators.embed import embed_text
 from askloom.operators.retrieve import TOP_K, vector_topk
-from askloom.session import checkpointed
+from askloom.session import checkpointed, written
 
 # Outcome names and their codes.
 INPUT_BLOCKED, RATE_LIMITED, CACHE_HIT, RAG_PIPELINE, OUTPUT_BLOCKED = (
@@ -28,7 +28,7 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int = TOP_K, top_n: int =
     questions and index and adds ``rerank_score``.
     """
     vectors = queries.select("req_id", embed("query").alias("embedding"))
-    near = search(vectors, index, k)
+    near = written(search(vectors, index, k), "near")   # few rows, so that no chunk's text is shuffled
     texts = index.select("id", "filename", "page", "text")
     candidates = near.join(texts, "id")
     return rerank.rerank_topn(score(candidates, queries, index), top_n, min_score)

@@ -40,6 +40,14 @@ def checkpointed(df, spark: SparkSession):
     return df.checkpoint(eager=True)
 
 
+def written(df, name: str):
+    """The rows through files below the shared folder. Unlike a checkpoint's their size is known to the
+    planner, so a small table is broadcast to a join instead of the large side being shuffled."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def micros(ts) -> Column:
     """Microseconds since the epoch. Zone-less timestamps are read in the session time zone."""
     ts = F.col(ts) if isinstance(ts, str) else ts

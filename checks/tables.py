@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from askloom.operators.embed import embed_text
 from askloom.operators.index import latest_per_id
-from askloom.plans.ingest import index_rows
+from askloom.plans.ingest import INDEX_COLUMNS, index_rows
 from askloom.session import micros, scratch_path, spread
 
 _STORED: dict = {}
@@ -66,7 +67,9 @@ def chunk_index(spark, sf) -> DataFrame:
     at = (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
         path = scratch_path(spark, "chunk-index")
-        latest_per_id(index_rows(spread(corpus(spark, sf)), carry=["seq"]), "seq").drop("seq").write.parquet(path)
+        rows = latest_per_id(index_rows(spread(corpus(spark, sf)), embed=None, carry=["seq"]), "seq")
+        # embedded after the shuffle, which moves no vectors then
+        rows.withColumn("embedding", embed_text("text")).select(*INDEX_COLUMNS).write.parquet(path)
         _STORED[at] = path
     return spark.read.parquet(_STORED[at])
 
