@@ -223,7 +223,8 @@ def daily_quota_stream(events: DataFrame, per_day: int, zone: str = "UTC") -> Da
 
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     day, until = day_columns(F.col("t"), zone)
-    blocked, schema, back = _blocked(events, DAY_BLOCKS, day_=day)
+    # no null in what is grouped by: Spark's state then takes later keys of the task for null as well
+    blocked, schema, back = _blocked(events, DAY_BLOCKS, day_=F.coalesce(day, F.lit(-(1 << 31))))
     schema = T.StructType(schema.fields + [T.StructField("rank", T.LongType())])
     counted = blocked.groupBy("day_", "block_").transformWithStateInPandas(
         statefulProcessor=_Count(schema.names), outputStructType=schema, outputMode="Append", timeMode="None")

@@ -120,3 +120,14 @@ def test_quota_stream_calls_python_once_a_block(spark, tmp_path):
     assert Counter(tuple(r) for r in spark.read.parquet(out).collect()) == _plain(rows, 2, "UTC")
     # a block and day is one state; before, each of the 1,402 users and days was
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * streams.DAY_BLOCKS
+
+
+def test_quota_stream_counts_rows_without_a_time_or_key_apart(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = [(None if i % 5 == 0 else f"u{i % 11}", None if i % 7 == 0 else i * 3_600_000_000, i, "x") for i in range(400)]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    log = spark.createDataFrame(rows, SCHEMA)
+    log.coalesce(1).write.parquet(src)
+    streams.daily_quota_stream(spark.readStream.schema(SCHEMA).parquet(src), 2).writeStream.format("parquet").option(
+        "path", out).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert Counter(tuple(r) for r in spark.read.parquet(out).collect()) == Counter(tuple(r) for r in quota.daily_quota(log, 2).collect())
