@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from askloom.llm.common import stored
 
@@ -38,8 +38,15 @@ def _stars(batches):
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    """Links a node's smaller neighbours with the least of them, then every node with its neighbour's least one."""
-    near = edges.mapInArrow(_stars, EDGE).repartition("u").sortWithinPartitions("u").mapInArrow(_stars, EDGE)
+    """Links a node's smaller neighbours with the least of them, then every node with its neighbour's least one.
+
+    After the stars this is all Spark expressions: tables of few edges in many partitions cost no
+    Python call for each partition. No step makes rows: an edge is moved to smaller nodes or goes.
+    """
+    by = Window.partitionBy("u").orderBy("v")
+    near = edges.mapInArrow(_stars, EDGE).select("u", "v", F.first("v").over(by).alias("m"), F.lag("v").over(by).alias("b"))
+    near = near.where("b is null or b <> v").select(
+        F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     up = near.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("w"))
     return near.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
 

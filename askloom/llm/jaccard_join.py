@@ -5,7 +5,7 @@ tokens. A run starts with all documents in one bucket and splits every bucket on
 a hash of (bucket, token), 1 / (threshold * SKETCH) of them, so a pair at the threshold is
 expected to stay together once. Buckets of up to SMALL documents, and those still larger after
 DEPTH splits (in tiles), are compared by brute force on sketches; RUNS repeats reach the target
-recall. Pairs that the sketches leave possible form groups, and all pairs of a group are then
+recall. Before, large groups of near copies are found by the first splits of FIRST runs. Pairs that the sketches leave possible form groups, and all pairs of a group are then
 compared exactly on their whole sets.
 """
 
@@ -26,7 +26,7 @@ from askloom.llm.tiles import over_tiles, with_tiles
 SKETCH = 64
 SMALL = 256
 DEPTH = 4
-FIRST = 4        # runs before groups are formed
+FIRST = 4        # runs whose first large buckets form groups
 BLOCK = 1024     # rows of a tile's side in the exact comparison,
 BLOCK_MB = 16    # or so many MB of their n-grams
 TILE = ["path", "lo", "hi", "side", "node", "grp", "sketch"]
@@ -167,18 +167,27 @@ def _compare_sketches(least: int):
 def possible_links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """node, root: groups that hold every two classes (node, sketch) which the sketches leave possible.
 
-    Groups are formed after the first runs. From then on only buckets of more than one group are
-    looked into and only links between groups are made, since comparing within a group adds nothing:
-    a large group of near copies is compared in a few runs, not in all. Until the end groups may be
-    parts of what hangs together; that costs comparisons, not links.
+    Groups are formed from the first large buckets of some runs (``_first_links``). All runs then
+    look only into buckets of more than one group and only make links between groups, since
+    comparing within a group adds nothing: a large group of near copies is compared once, not in
+    every run and level. Until the end groups may be parts of what hangs together; that costs
+    comparisons, not links.
     """
     starts = [int(mix(np.array([1000 + r], np.uint64))[0]) for r in range(runs_for(threshold, recall))]
-    first = _pass(classes.withColumn("grp", F.col("node")), threshold, starts[:FIRST], False)
+    first = _first_links(classes, threshold, starts[:FIRST])
     groups = stored(_part_groups(first), "groups")
-    rest = _pass(_with_groups(classes, groups), threshold, starts[FIRST:], True)
+    rest = _pass(_with_groups(classes, groups), threshold, starts)
     return connected_components(rest.unionByName(first))
 
 
+def _first_links(classes: DataFrame, threshold: float, starts: list[int]) -> DataFrame:
+    """u, v: some of the links in buckets of over SMALL rows after one split of these runs, by ``first_tiles``."""
+    level = stored(_split(classes.withColumn("grp", F.col("node")), threshold, starts), "paths")
+    large = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL)
+    rows = level.join(large, "path").join(classes.select("node", "sketch"), "node")
+    return _links(first_tiles(rows), threshold)
+
+
 def _part_groups(links: DataFrame) -> DataFrame:
     """node, grp: a node of the same component, the least one where two rounds find it."""
     return connected_components(links, rounds=2).withColumnRenamed("root", "grp")
@@ -225,12 +234,11 @@ def rest_tiles(rows: DataFrame) -> DataFrame:
     return d.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
 
 
-def _pass(classes: DataFrame, threshold: float, starts: list[int], grouped: bool) -> DataFrame:
+def _pass(classes: DataFrame, threshold: float, starts: list[int]) -> DataFrame:
     """u, v: links between the groups of classes (node, grp, sketch) that these runs find, and of every
     class with its group.
 
-    With groups of more than one (``grouped``) a bucket of a few large groups and few other rows is
-    compared at once: that is less than to split it.
+    A bucket of a few large groups and few other rows is compared at once: that is less than to split it.
     """
     classes = stored(classes.select("node", "grp", "sketch"), "classes")
     level = stored(_split(classes, threshold, starts), "paths")
@@ -244,7 +252,7 @@ def _pass(classes: DataFrame, threshold: float, starts: list[int], grouped: bool
         more = rows.where(large)
         empty = not more.take(1)
         last = empty or depth == DEPTH
-        if grouped and not last:
+        if not last:
             near = stored(_nearly_whole(more), "buckets")
             whole.append(more.join(near, "path", "left_semi"))
             more = more.join(near, "path", "left_anti")

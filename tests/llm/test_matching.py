@@ -291,3 +291,25 @@ def test_rows_of_a_group_of_near_copies_grow_with_its_size(frame, monkeypatch):
         docs = frame([(i, " ".join(words[:i % 200] + [f"e{i}"] + words[i % 200 + 1:]), "a") for i in range(n)])
         assert {(r["n_links"], r["class_id"]) for r in jaccard_join.similar_documents(docs).collect()} == {(n - 1, 0)}
         assert sum(links) < 40 * n and sum(rows) < 120 * n, (n, links, rows)
+
+
+def test_large_group_of_near_copies_takes_few_tables(frame, monkeypatch):
+    """Every table written is a job over all partitions, however few its rows are."""
+    made, stored_as = [], jaccard_join.stored
+
+    def kept(df, name):
+        made.append(name)
+        return stored_as(df, name)
+    monkeypatch.setattr(jaccard_join, "stored", kept)
+    monkeypatch.setattr(components, "stored", kept)
+    monkeypatch.setattr(jaccard_join, "SMALL", 32)
+    words = [f"w{i}" for i in range(200)]
+    docs = frame([(i, " ".join(words[:i % 200] + [f"e{i}"] + words[i % 200 + 1:]), "a") for i in range(256)])
+    assert {(r["n_links"], r["class_id"]) for r in jaccard_join.similar_documents(docs).collect()} == {(255, 0)}
+    assert len(made) < 30
+
+
+def test_rounds_of_components_call_python_before_the_shuffle_only(spark):
+    edges = spark.createDataFrame([(5, 1), (5, 2), (9, 5)], "u long, v long")
+    plan = components._round(edges)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the same one on both sides of the join
