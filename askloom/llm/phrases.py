@@ -13,7 +13,8 @@ counts a phrase that need not be counted, and its exact count shows that; nothin
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ BITS_EACH = 16       # of the map, two set for each phrase
 MOST_BITS = 1 << 27  # 16 MB; beyond, more false hits
 _CHUNK = 1 << 15
 _HELD = 1 << 18      # words that a task counts together
+_PART = 1 << 20      # bytes of text that it takes at a time
+_ROW = 1 << 15       # bytes of counts in a row sent, about,
+_BATCH = 1 << 22     # and in the rows that leave a task at once
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -206,22 +210,43 @@ def summed(lang: str | None, cols: list[np.ndarray], names: list[bytes] | None,
     return lang, [c[lo] for c in sorted_], names and [names[i] for i in order[lo].tolist()], total
 
 
-def _pack(counts: list[Counts], ids: int) -> Iterator[tuple[int, bytes]]:
-    """Counts cut into ranges of the hash: (range, bytes)."""
+def _pack(counts: Iterable[Counts], ids: int) -> Iterator[tuple[int, bytes]]:
+    """Counts cut into ranges of the hash: (range, bytes), one or more rows of about _ROW bytes for each."""
     shift = np.uint64(64 - ids.bit_length() + 1)
     out: dict[int, list[bytes]] = {}
     for lang, cols, names, n in counts:
         cuts = np.searchsorted((phrase_hash(cols) >> shift).astype(np.int64), np.arange(ids + 1))
         tag = b"" if lang is None else lang.encode()
+        step = max(1, _ROW // (8 * len(cols) + 8))
         for i in np.flatnonzero(np.diff(cuts)).tolist():
-            lo, hi = int(cuts[i]), int(cuts[i + 1])
-            size = n[lo:hi]
-            size = size.astype(np.uint8 if size.max() < 256 else np.int64)
-            text = b"\n".join(names[lo:hi]) if names else b""
-            head = np.array([len(cols), hi - lo, size.itemsize, -1 if lang is None else len(tag), len(text)], np.int64)
-            out.setdefault(i, []).append(b"".join([head.tobytes(), *(c[lo:hi].tobytes() for c in cols), size.tobytes(), tag, text]))
+            held = out.setdefault(i, [])
+            for lo in range(int(cuts[i]), int(cuts[i + 1]), step):
+                hi = min(lo + step, int(cuts[i + 1]))
+                size = n[lo:hi]
+                size = size.astype(np.uint8 if size.max() < 256 else np.int64)
+                text = b"\n".join(names[lo:hi]) if names else b""
+                head = np.array([len(cols), hi - lo, size.itemsize, -1 if lang is None else len(tag), len(text)], np.int64)
+                held.append(b"".join([head.tobytes(), *(c[lo:hi].tobytes() for c in cols), size.tobytes(), tag, text]))
+                if sum(map(len, held)) >= _ROW:
+                    yield i, b"".join(held)
+                    held.clear()
     for i, parts in out.items():
-        yield i, b"".join(parts)
+        if parts:
+            yield i, b"".join(parts)
+
+
+def _batches(rows: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows (range, bytes) as batches of about _BATCH bytes."""
+    id_, data, size = [], [], 0
+    for i, b in rows:
+        id_.append(i)
+        data.append(b)
+        size += len(b)
+        if size >= _BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(id_, pa.int32()), pa.array(data, pa.binary())], ["id", "counts"])
+            id_, data, size = [], [], 0
+    if id_:
+        yield pa.RecordBatch.from_arrays([pa.array(id_, pa.int32()), pa.array(data, pa.binary())], ["id", "counts"])
 
 
 def _unpack(data: bytes) -> Iterator[Counts]:
@@ -245,7 +270,7 @@ def _words(data, offsets, langs):
     seed = {lang: np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")) for lang in set(langs)}
     seeds = np.array([seed[lang] for lang in langs], np.uint64)
     last, carry, broken = -1, np.zeros(0, np.uint64), True
-    for text, part, offs in pieces(data, offsets, 2 << 20, GAP):
+    for text, part, offs in pieces(data, offsets, _PART, GAP):
         part = lowered(part)
         starts, ends = word_spans(part, offs, GAP)
         owner = text + np.searchsorted(offs, starts, "right") - 1
@@ -292,7 +317,8 @@ def counted(texts: DataFrame, floor: int, known=None, new=None, longest: int = L
     word less are all in ``known`` and, with ``new``, not all outside that.
 
     A task counts _HELD words at a time and sends the counts, cut into ranges of the phrase's hash, as
-    one row of bytes for each range; ranges meet in tasks that add up one range after the other.
+    rows of bytes; ranges meet in tasks that add up one range after the other. Rows and batches are
+    small, so that neither side of the Python boundary holds more than a few MB of them.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = 1 << (4 * parts - 1).bit_length()
@@ -303,12 +329,8 @@ def counted(texts: DataFrame, floor: int, known=None, new=None, longest: int = L
         size = 0
 
         def rows():
-            found = list(count.phrases()) + [_joined(c) for c in names.values()]
+            yield from _batches(_pack(chain(count.phrases(), map(_joined, names.values())), ids))
             names.clear()
-            packed = list(_pack(found, ids))
-            if packed:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["id", "counts"])
 
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))

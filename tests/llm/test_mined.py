@@ -89,6 +89,26 @@ def test_words_of_a_long_text_come_in_parts():
     assert n == sum(map(len, pieces)) and total == sum(max(0, len(p) - 1) for p in pieces)
 
 
+def test_counts_are_sent_in_small_rows():
+    """However few the ranges are, rows and batches of counts stay small, and every count arrives."""
+    rng = np.random.default_rng(2)
+    cols = [rng.integers(1, 1 << 63, 100_000, np.uint64) for _ in range(2)]
+    counts = phrases.summed(None, cols, None, np.arange(1, 100_001))
+    words = phrases.summed("en", cols[:1], [b"word%d" % i for i in range(100_000)], np.full(100_000, 3))
+    rows = list(phrases._pack([counts, words], 2))
+    assert max(len(b) for _, b in rows) < 4 * 32_768
+    got = {None: {}, "en": {}}
+    for i, data in rows:
+        for lang, c, names, n in phrases._unpack(data):
+            assert (phrases.phrase_hash(c) >> np.uint64(63) == i).all()
+            got[lang].update(zip(zip(*(x.tolist() for x in c), names or [None] * len(n)), n.tolist()))
+    assert got[None] == dict(zip(zip(*(x.tolist() for x in counts[1]), [None] * 100_000), counts[3].tolist()))
+    assert got["en"] == dict(zip(zip(words[1][0].tolist(), words[2]), words[3].tolist()))
+    batches = list(phrases._batches(rows))
+    assert [b for x in batches for b in x.column("counts").to_pylist()] == [b for _, b in rows]
+    assert max(x.nbytes for x in batches) < 2 * phrases._BATCH
+
+
 def test_marks_never_miss(spark):
     rnd = random.Random(1)
     rows = list({tuple(rnd.randrange(1, 40) if j < k else 0 for j in range(4)) for k in (1, 2, 3, 4) for _ in range(200)})
